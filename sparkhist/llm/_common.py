@@ -148,3 +148,48 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return nodes.join(current.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
+
+
+def by_group(batches, keys: list[str]):
+    """Tables of the runs of equal `keys` in a sorted stream of record batches.
+
+    Only the run that a batch ends in is held over, so memory is bounded by
+    the largest group and one batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        if held is not None:
+            t = pa.concat_tables([held, t])
+        cols = [t.column(k).to_numpy() for k in keys]
+        change = np.zeros(t.num_rows, bool)
+        change[0] = True
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(change)
+        for i, j in zip(starts[:-1], starts[1:]):
+            yield t.slice(i, j - i)
+        held = t.slice(starts[-1]).combine_chunks()
+    if held is not None:
+        yield held
+
+
+def matrix(column, dtype="float64"):
+    """A list column of one length per row as a two-dimensional array."""
+    import numpy as np
+
+    c = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    flat = c.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, dtype).reshape(len(c), -1) if len(c) else np.zeros((0, 0))
+
+
+def usable_vector(column: Column) -> Column:
+    """True for vectors that are not null, zero or empty and hold finite numbers only."""
+    c = column.cast("array<double>")
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    return F.coalesce(c.isNotNull() & ~F.exists(c, bad) & F.exists(c, lambda x: x != 0), F.lit(False))
