@@ -44,6 +44,13 @@ def _sweep() -> None:
             return
 
 
+def watch(spark: SparkSession, path: str) -> None:
+    """Delete `path` when the driver's Python ends."""
+    if not _written:
+        atexit.register(_sweep)
+    _written.append((spark, path))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it again.
 
@@ -52,9 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkhist-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_sweep)
-    _written.append((spark, path))
+    watch(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkhist.llm import ann, embedding_dedup, line_dedup, mixing, packing, quality, simhash, tokens, toxicity
+from sparkhist.llm import ann, embedding_dedup, infinigram, line_dedup, mixing, packing, quality, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.ann_digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by unbounded n-grams of six sevenths of them."""
+    return infinigram.lm_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probability of every document."""
     return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_simhash": op6_simhash,
         "op7_ann": op7_ann,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_quality": op9_quality,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
