@@ -32,7 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same for texts without two white-space characters in a row.
 PLAIN = PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
 #: Entries a worker keeps before its caches start afresh.
-CACHE = 250_000
+CACHE = 400_000
 LONGEST_KEY = 64
 
 
@@ -118,48 +118,70 @@ class PrefixCounter:
     def __init__(self, path: str | None = None):
         self.enc = encoder(path)
         self.ranks = self.enc.ranks
-        self.longest = max(map(len, self.ranks))
+        self.begins = {t[:i] for t in self.ranks for i in range(1, len(t) + 1)}
         self.split = regex.compile(PATTERN)
-        self.totals: dict[str, int] = {}
+        self.tables: dict[str, list[int] | bytes] = {}
+        self.words: dict[str, int] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def _valid(self, a: bytes, b: bytes) -> bool:
+        """Whether two tokens in a row are the encoding of their bytes."""
         key = (a, b)
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) >= 4 * CACHE:
+            if len(self.pairs) >= CACHE:
                 self.pairs.clear()
             ok = self.pairs[key] = self.enc.bpe._encode_single_piece(a + b) == [self.ranks[a], self.ranks[b]]
         return ok
 
-    def table(self, piece: str) -> list[int]:
+    def table(self, piece: str) -> list[int] | bytes:
         """Counts at the byte prefixes 1.. of one pre-token."""
+        known = self.tables.get(piece)
+        if known is not None:
+            return known
         s = piece.encode()
-        ranks, valid = self.ranks, self._valid
-        last: list[bytes] = [b""]
-        count = [0]
-        for p in range(1, len(s) + 1):
-            for q in range(max(0, p - self.longest), p):
+        n = len(s)
+        ranks, begins, valid = self.ranks, self.begins, self._valid
+        last: list[bytes] = [b""] * (n + 1)
+        count = [0] * (n + 1)
+        for q in range(n):
+            before, c = last[q], count[q] + 1
+            for p in range(q + 1, n + 1):
                 t = s[q:p]
-                if t in ranks and (q == 0 or valid(last[q], t)):
-                    last.append(t)
-                    count.append(count[q] + 1)
+                if t not in begins:
                     break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        return count[1:]
-
-    def _total(self, piece: str) -> int:
-        n = self.table(piece)[-1]
-        if len(piece) <= LONGEST_KEY:
-            if len(self.totals) >= CACHE:
-                self.totals.clear()
-            self.totals[piece] = n
+                # One token alone ends each prefix's encoding, so the first that fits is it.
+                if not count[p] and t in ranks and (not q or valid(before, t)):
+                    last[p], count[p] = t, c
+        if not all(count[1:]):
+            raise ValueError("the vocabulary lacks a byte")
+        if n > LONGEST_KEY:
+            return count[1:]
+        if len(self.tables) >= CACHE:
+            self.tables.clear()
+        out = self.tables[piece] = bytes(count[1:])
+        return out
+
+    def _word(self, word: str) -> int:
+        """Tokens of what stands between two single spaces, kept by its text."""
+        n = self.words.get(word)
+        if n is None:
+            n = self._pieces(word)
+            if len(word) <= LONGEST_KEY:
+                if len(self.words) >= CACHE:
+                    self.words.clear()
+                self.words[word] = n
         return n
 
-    def _total_of(self, piece: str) -> int:
-        n = self.totals.get(piece)
-        return self._total(piece) if n is None else n
+    def _pieces(self, text: str) -> int:
+        return sum(self.table(p)[-1] for p in self.split.findall(text))
+
+    def _ordinary(self, text: str) -> int:
+        if self.enc.runs.search(text) or text[:1].isspace() or text[-1:].isspace():
+            return self._pieces(text)
+        # A single space between other characters starts a pre-token, so words count apart.
+        first, *rest = text.split(" ")
+        return self._word(first) + sum(map(self._word, map(" ".__add__, rest)))
 
     def _parts(self, text: str) -> list[str]:
         """The text cut around special strings, those included."""
@@ -170,9 +192,7 @@ class PrefixCounter:
 
     def count(self, text: str) -> int:
         """Tokens of a whole text: the last entry of `prefix_counts`."""
-        return sum(
-            1 if p in self.enc.special else sum(map(self._total_of, self.split.findall(p))) for p in self._parts(text)
-        )
+        return sum(1 if p in self.enc.special else self._ordinary(p) for p in self._parts(text))
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """counts[p]: tokens of the first p bytes; p = 0 .. n_bytes.
@@ -237,11 +257,9 @@ def token_counts(
 ) -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
-    The count at the end of a text is the number of tokens its encoding has,
-    so without prefixes the dynamic program, which costs several times the
-    encoding, isn't run.  ``with_prefixes`` adds ``prefix_counts``, the count at every byte prefix
-    as little-endian int32 compressed by zlib; see `read_prefixes`.  Nothing
-    is shuffled.  A null text counts as empty (0 tokens); repeated rows each
+    The count of a text is that at its last prefix.  ``with_prefixes`` adds
+    ``prefix_counts``, the count at every byte prefix as little-endian int32
+    compressed by zlib; see `read_prefixes`.  Nothing is shuffled.  A null text counts as empty (0 tokens); repeated rows each
     get a row; a null id stays null; other columns are not read.
     """
     path = path or default_path()
@@ -254,10 +272,10 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        c, e = prefix_counter(path) if with_prefixes else None, encoder(path)
+        c = prefix_counter(path)
         for b in batches:
             texts = [t.as_py() or "" for t in b.column("text")]
-            n = [len(e.ids(t)) for t in texts]
+            n = [c.count(t) for t in texts]
             cols = [
                 b.column("doc_id"),
                 pa.array([len(t.encode()) for t in texts], pa.int64()),
