@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from functools import cached_property, lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,8 +96,6 @@ class Layout:
 
 
 def _python_index(layout: Layout):
-    import pandas as pd
-
     @F.pandas_udf("int")
     def index(x: pd.Series) -> pd.Series:
         return x.map(layout.index, na_action="ignore").astype("Int32")
