@@ -30,12 +30,14 @@ from sparkhist.llm import _common
 from sparkhist.llm._common import crc_mod, shared_dir
 
 #: Bytes of text in a shard, about; and tokens that are scored against it at once.
-SHARD_BYTES, BATCH_TOKENS = 80_000_000, 8_000_000
+SHARD_BYTES, BATCH_TOKENS = 60_000_000, 4_000_000
 #: Pseudo-count of the base distribution.
 MASS = 1.0
 #: Hash of the end of a text; no word contains a space.
 END = b" end"
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Elements handled at once where that saves memory.
+STEP = 1 << 20
 #: Intervals up to this size are counted entry by entry.
 FEW = 8
 
@@ -138,11 +140,13 @@ class Shard:
 
     def open(self) -> Shard:
         """Keys and prefix hashes that searching needs."""
-        self.key = packed(self.tokens, self.order, self.bits, self.k)
+        self.key = np.empty(len(self.order), np.int64)
+        for i in range(0, len(self.order), STEP):
+            self.key[i : i + STEP] = packed(self.tokens, self.order[i : i + STEP].astype(np.int64), self.bits, self.k)
         extra = int(self.tokens.max()) - len(self.vocabulary) if len(self.tokens) else 0
         odd = np.arange(1, extra + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         table = np.concatenate([np.zeros(1, np.uint64), self.vocabulary, odd])
-        self.prefix = prefix_hashes(table[self.tokens])
+        self.prefix = prefix_hashes(self.tokens, table)
         return self
 
 
@@ -165,15 +169,19 @@ _powers = np.ones(1, np.uint64)
 def _ensure_powers(n: int) -> None:
     global _powers
     if len(_powers) <= n:
-        _powers = powers(max(n, 2 * len(_powers)))
+        _powers = powers(n + n // 8)
 
 
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """H[i] = sum of values[t] * B^t for t < i, modulo 2^64."""
-    _ensure_powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
+def prefix_hashes(values: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """H[i] = sum of values[t] * B^t for t < i, modulo 2^64; values are looked up in `table` if there is one."""
+    n = len(values)
+    _ensure_powers(n + 1)
+    out = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(values * _powers[: len(values)], out=out[1:])
+        for i in range(0, n, STEP):
+            v = values[i : i + STEP]
+            part = np.cumsum((v if table is None else table[v]) * _powers[i : i + len(v)])
+            out[i + 1 : i + 1 + len(v)] = part + out[i]
     return out
 
 
@@ -183,7 +191,8 @@ class Texts:
     def __init__(self, hashes: list[array]):
         flat, rest = reverse_texts(hashes)
         self.rest = rest.astype(np.int32)
-        token = rest > 0
+        del rest
+        token = self.rest > 0
         self.prefix = prefix_hashes(flat)
         self.words, inverse = np.unique(flat[token], return_inverse=True)
         self.word_of = np.full(len(flat), -1, np.int32)
@@ -527,7 +536,7 @@ def score(
         def flush() -> pa.RecordBatch:
             groups = [(c, [i for i, l in enumerate(learned) if l == (c is Learned)]) for c in (Learned, Unseen)]
             groups = [(c([hashes[i] for i in at]), at) for c, at in groups if at]
-            hashes.clear()
+            hashes.clear()  # of the texts, numbers of words remain
             for i in range(shards):
                 if (s := _read_shard(path, i)) is not None:
                     for texts, _ in groups:
