@@ -57,7 +57,8 @@ class Layout:
         finite = F.least(F.greatest(x, F.lit(-fb.MAX_VALUE)), F.lit(fb.MAX_VALUE))
         i = F.least(F.greatest(self.raw_column(finite) + infinite, lo), hi).cast("int")
         checked = F.assert_true(~F.isnan(x), F.lit("NaN can't be recorded")).cast("int")
-        return i + F.coalesce(checked, F.lit(0))
+        null = F.when(x.isNull(), F.lit(None).cast("int")).otherwise(F.lit(0))  # least and greatest skip nulls
+        return i + F.coalesce(checked, F.lit(0)) + null
 
     def seed(self, i: int) -> float | None:
         """A guess of the lower bound of bin i, if there is a cheap one."""
