@@ -34,7 +34,7 @@ def test_features():
     none = toxicity.Lexicon()
     assert toxicity.features(None, none) == toxicity.features("123 !!", none) == [0.0] * len(toxicity.NAMES)
     f = dict(zip(toxicity.NAMES, toxicity.features("You are an IDIOT, st00pid idiot!", none)))
-    assert f["listed"] == 2 and f["at_you"] == 2 and f["mixed"] >= 1 and f["shouted"] > 0 and f["exclaims"] > 0
+    assert f["listed"] == 2 and f["at_you"] == 1 and f["mixed"] >= 1 and f["shouted"] > 0 and f["exclaims"] > 0
     mined = toxicity.Lexicon(frozenset({"zorgo"}), {4: frozenset({"blar"})})
     f = dict(zip(toxicity.NAMES, toxicity.features("zorgo blarting blar", mined)))
     assert f["mined"] == 1 and f["roots"] == 1 and f["any"] == 2
