@@ -38,7 +38,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     prices = lambda: table(spark, d, "lineitem")
-    # The reference's recording benchmark: a million log-uniform doubles in [1e3, 1e12].
+    # Recording alone: a million log-uniform doubles in [1e3, 1e12].
     million = lambda: spark.range(0, 1_000_000, 1, int(cpus)).select((1000 * F.pow(F.lit(1e9), F.rand(0))).alias("x"))
     by = [Q.FLAG]
     ps = [0.5, 0.95, 0.99]

@@ -57,6 +57,24 @@ def interpolate_col(x: Column, x1: Column, y1: Column, x2: Column, y2: Column) -
     )
 
 
+def interpolate_sql(x: str, x1: str, y1: str, x2: str, y2: str) -> str:
+    """`interpolate_col` as text, of doubles named or spelled in SQL; one call to build instead of a hundred."""
+    span = f"nullif({x2} - {x1}, 0D)"
+    from_1 = f"({y1} + ({y2} - {y1}) * (({x} - {x1}) / {span}))"
+    from_2 = f"({y2} + ({y2} - {y1}) * (({x} - {x2}) / {span}))"
+    inf = "double('Infinity')"
+    y = (
+        f"(CASE WHEN {x1} != {x2} AND abs({y1}) < {inf} AND abs({y2}) < {inf} THEN {from_1} * 0.5D + {from_2} * 0.5D "
+        f"ELSE {y1} * 0.5D + {y2} * 0.5D END)"
+    )
+    return (
+        f"(CASE WHEN {y1} = {y2} AND string({y1}) = string({y2}) THEN {y1} "
+        f"WHEN ({x} <= {x1} AND {x1} < {x2}) OR ({x} >= {x1} AND {x1} > {x2}) THEN {y1} "
+        f"WHEN ({x} <= {x2} AND {x2} < {x1}) OR ({x} >= {x2} AND {x2} > {x1}) THEN {y2} "
+        f"WHEN isnan({y}) THEN {y} ELSE least(greatest({y}, least({y1}, {y2})), greatest({y1}, {y2})) END)"
+    )
+
+
 def estimate(
     kind: Estimate | str, rank: int, less: int, count: int, lower: float, upper: float, first: bool, last: bool
 ) -> float:
@@ -78,29 +96,24 @@ def estimate(
 Estimator = Callable[[Column], Column]
 
 
-def estimate_col(kind: Estimate | str | Estimator, rank: Column) -> Column:
-    """`estimate` over the columns of a bins view; ranks 0 and n - 1 are the exact extremes."""
-    lower, upper, less, count = (F.col(c) for c in ("lower_bound", "upper_bound", "less_count", "bin_count"))
+def estimate_col(kind: Estimate | str | Estimator, rank: str) -> Column:
+    """`estimate` over the columns of a bins view and a rank column; ranks 0 and n - 1 are the exact extremes."""
+    extreme = f"CASE WHEN {rank} = 0 THEN min_value WHEN {rank} = total_count - 1 THEN max_value"
     if callable(kind) and not isinstance(kind, str):
-        value = kind(rank)
-    elif Estimate(kind) is Estimate.LOWER_BOUND:
-        value = lower
+        return F.coalesce(F.expr(extreme + " END"), kind(F.col(rank)))
+    if Estimate(kind) is Estimate.LOWER_BOUND:
+        value = "lower_bound"
     elif Estimate(kind) is Estimate.UPPER_BOUND:
-        value = upper
+        value = "upper_bound"
     elif Estimate(kind) is Estimate.MID_POINT:
-        value = F.greatest(lower, F.least(upper, (lower + upper) * 0.5))
+        value = "greatest(lower_bound, least(upper_bound, (lower_bound + upper_bound) * 0.5D))"
     else:
-        k = rank - less
-        value = interpolate_col(
-            (k - (count - k - 1)).cast("double"),
-            (-count + F.col("is_first").cast("long")).cast("double"),
-            lower,
-            (count - F.col("is_last").cast("long")).cast("double"),
-            upper,
-        )
-    return (
-        F.when(rank == 0, F.col("min_value")).when(rank == F.col("total_count") - 1, F.col("max_value")).otherwise(value)
-    )
+        k = f"({rank} - less_count)"
+        value = interpolate_sql(
+            f"double({k} - (bin_count - {k} - 1))", "double(-bin_count + int(is_first))", "lower_bound",
+            "double(bin_count - int(is_last))", "upper_bound",
+        )
+    return F.expr(f"{extreme} ELSE {value} END")
 
 
 def check_positions(alpha: float, beta: float) -> None:
@@ -133,6 +146,13 @@ def position_col(p: Column, n: Column, alpha: float = 0.4, beta: float = 0.4) ->
     return F.least(F.greatest(z, F.lit(0.0)), n - 1)
 
 
+def position_sql(p: str, n: str, alpha: float = 0.4, beta: float = 0.4) -> str:
+    """`position_col` as text."""
+    check_positions(alpha, beta)
+    z = interpolate_sql(p, "0D", f"double('{alpha - 1.0!r}')", "1D", f"(double({n}) - double('{float(beta)!r}'))")
+    return f"least(greatest({z}, 0D), double({n}) - 1)"
+
+
 def array_quantile(values: Column, p: float, alpha: float = 0.4, beta: float = 0.4) -> Column:
     """The exact quantile of an array column sorted ascending; NaN if it is empty."""
     n = F.size(values)

@@ -11,8 +11,8 @@ from sparkhist.functions.estimators import (
     Estimate,
     Estimator,
     estimate_col,
-    interpolate_col,
-    position_col,
+    interpolate_sql,
+    position_sql,
 )
 from sparkhist.operators.bins import bin_by_rank
 
@@ -22,7 +22,7 @@ def value_at_rank(
 ) -> DataFrame:
     """keys, rank, value: the estimated value of each rank; exact for the first and the last."""
     found = bin_by_rank(bins, ranks, keys)
-    return found.select(*keys, "rank", estimate_col(estimator, F.col("rank")).alias("value"))
+    return found.select(*keys, "rank", estimate_col(estimator, "rank").alias("value"))
 
 
 def quantiles(
@@ -43,24 +43,16 @@ def quantiles(
     """
     if not all(0 <= p <= 1 for p in ps):
         raise ValueError("quantiles lie between 0 and 1")
-    z = position(F.col("p"), F.col("total_count")) if position else position_col(F.col("p"), F.col("total_count"), alpha, beta)
-    rows = bins.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps))))
-    rows = rows.withColumn("_z", z).withColumn("_i", F.floor("_z").cast("long"))
-    end = F.col("less_count") + F.col("bin_count")
-    holds = lambda r: (F.col("less_count") <= r) & (r < end)
-    i = F.col("_i")
-    rows = rows.where(holds(i) | holds(i + 1))
+    z = position(F.col("p"), F.col("total_count")) if position else F.expr(position_sql("p", "total_count", alpha, beta))
+    rows = bins.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps)))).withColumn("_z", z)
+    rows = rows.withColumn("_r", F.expr("explode(array(bigint(floor(_z)), bigint(floor(_z)) + 1))"))
+    rows = rows.where("less_count <= _r AND _r < less_count + bin_count")
+    rows = rows.select(*keys, "p", "_z", "_r", estimate_col(estimator, "_r").alias("_v"))
     found = rows.groupBy(*keys, "p").agg(
-        F.first("_z").alias("_z"),
-        F.first("_i").alias("_i"),
-        F.max(F.when(holds(i), estimate_col(estimator, i))).alias("_v1"),
-        F.max(F.when(holds(i + 1), estimate_col(estimator, i + 1))).alias("_v2"),
+        F.expr("first(_z) AS _z"), F.expr("min_by(_v, _r) AS _v1"), F.expr("max_by(_v, _r) AS _v2")
     )
-    inner = interpolate_col(
-        F.col("_z") - F.col("_i"), F.lit(0.0), F.col("_v1"), F.lit(1.0), F.coalesce("_v2", "_v1")
-    )
-    value = F.when(F.col("_z") == F.col("_i"), F.col("_v1")).otherwise(inner)
-    return found.select(*keys, "p", value.alias("value"))
+    inner = interpolate_sql("(_z - floor(_z))", "0D", "_v1", "1D", "_v2")
+    return found.select(*keys, "p", F.expr(f"CASE WHEN _z = floor(_z) THEN _v1 ELSE {inner} END").alias("value"))
 
 
 def pivot_quantiles(found: DataFrame, ps: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
