@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from sparkhist.llm import _common
 from sparkhist.llm._common import crc_mod, shared_dir
 
-#: Bytes of text in a shard, about; and tokens that are scored against it at once.
-SHARD_BYTES, BATCH_TOKENS = 60_000_000, 4_000_000
+#: Bytes of text in a shard, about; tokens that are scored against it at once; those of them numbered at once.
+SHARD_BYTES, BATCH_TOKENS, PART_TOKENS = 60_000_000, 6_000_000, 2_000_000
 #: Pseudo-count of the base distribution.
 MASS = 1.0
 #: Hash of the end of a text; no word contains a space.
@@ -126,14 +126,17 @@ class Shard:
 
     @classmethod
     def build(cls, hashes: list[array]) -> Shard:
+        """The shard of some texts; empties the list, which may be most of the memory."""
         flat, rest = reverse_texts(hashes)
+        hashes.clear()
         words = rest > 0
+        del rest
         vocabulary, ids = np.unique(flat[words], return_inverse=True)
         tokens = np.empty(len(flat), np.int32)
         tokens[words] = ids + 1
         # Separators differ from all else, so that no match runs across texts.
         tokens[~words] = len(vocabulary) + 1 + np.arange(int((~words).sum()))
-        del flat, ids, rest
+        del flat, ids
         out = cls(vocabulary, tokens, np.zeros(0, np.int32))
         out.order = suffix_array(tokens, out.bits, out.k)
         return out
@@ -150,37 +153,32 @@ class Shard:
         return self
 
 
-def powers(n: int) -> np.ndarray:
-    """B^0 .. B^n modulo 2^64, by repeated doubling."""
-    out = np.ones(n + 1, np.uint64)
-    have, top = 1, _B
+def _powers(n: int, first: np.uint64) -> np.ndarray:
+    out = np.ones(n, np.uint64)
     with np.errstate(over="ignore"):
-        while have <= n:
-            m = min(have, n + 1 - have)
-            out[have : have + m] = out[:m] * top
-            have += m
-            top = top * top
+        out[1:] = np.multiply.accumulate(np.full(n - 1, first, np.uint64))
     return out
 
 
-_powers = np.ones(1, np.uint64)
+_LOW = _powers(1 << 14, _B)
+with np.errstate(over="ignore"):
+    _HIGH = _powers(1 << 17, _LOW[-1] * _B)
 
 
-def _ensure_powers(n: int) -> None:
-    global _powers
-    if len(_powers) <= n:
-        _powers = powers(n + n // 8)
+def power(i: np.ndarray) -> np.ndarray:
+    """B^i modulo 2^64, from two small tables."""
+    with np.errstate(over="ignore"):
+        return _HIGH[i >> 14] * _LOW[i & 16383]
 
 
 def prefix_hashes(values: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
     """H[i] = sum of values[t] * B^t for t < i, modulo 2^64; values are looked up in `table` if there is one."""
     n = len(values)
-    _ensure_powers(n + 1)
     out = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, n, STEP):
             v = values[i : i + STEP]
-            part = np.cumsum((v if table is None else table[v]) * _powers[i : i + len(v)])
+            part = np.cumsum((v if table is None else table[v]) * power(np.arange(i, i + len(v))))
             out[i + 1 : i + 1 + len(v)] = part + out[i]
     return out
 
@@ -227,7 +225,7 @@ class Texts:
         """Length, up to `most`, of what text positions a and shard positions b have in common."""
         most = np.minimum(most, len(s.tokens) - b)
         out = np.zeros(len(a), np.int64)
-        pa_, pb = _powers[a], _powers[b]
+        pa_, pb = power(a), power(b)
         ha, hb = self.prefix[a], s.prefix[b]
         bit = 1 << max(0, int(most.max(initial=0)).bit_length() - 1)
         with np.errstate(over="ignore"):
@@ -445,7 +443,7 @@ def _write_shards(train: DataFrame, shards: int) -> str:
         if shard is None:
             return
         s = Shard.build(hashes)
-        hashes.clear()
+        _trim()
         for kind, x in enumerate((s.vocabulary, s.tokens, s.order)):
             for part, i in enumerate(range(0, len(x), 1 << 20)):
                 yield pa.RecordBatch.from_arrays(
@@ -479,6 +477,17 @@ def _read_shard(path: str, shard: int) -> Shard | None:
     return Shard(join(0, np.uint64), join(1, np.int32), join(2, np.int32)).open()
 
 
+def _trim() -> None:
+    """Give freed memory back, as idle workers stay."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
 def _totals(spark, path: str) -> tuple[int, int]:
     """Tokens and different words of all shards."""
 
@@ -534,13 +543,26 @@ def score(
         key_type = None
 
         def flush() -> pa.RecordBatch:
-            groups = [(c, [i for i, l in enumerate(learned) if l == (c is Learned)]) for c in (Learned, Unseen)]
-            groups = [(c([hashes[i] for i in at]), at) for c, at in groups if at]
+            # Texts of the corpus in some groups, as numbering their words takes more memory than keeping the numbers.
+            groups: list[tuple[Texts, list[int]]] = []
+            for cls, want, most in ((Learned, True, PART_TOKENS), (Unseen, False, batch_tokens)):
+                part, size = [], 0
+                for i, known in enumerate(learned):
+                    if known == want:
+                        part.append(i)
+                        size += len(hashes[i])
+                        if size >= most:
+                            groups.append((cls([hashes[k] for k in part]), part))
+                            part, size = [], 0
+                if part:
+                    groups.append((cls([hashes[k] for k in part]), part))
             hashes.clear()  # of the texts, numbers of words remain
+            _trim()
             for i in range(shards):
                 if (s := _read_shard(path, i)) is not None:
                     for texts, _ in groups:
                         texts.visit(s)
+                        texts.ids = None
                 del s
             out = [np.zeros(len(keys)) for _ in range(4)]
             for texts, at in groups:
@@ -552,6 +574,8 @@ def score(
             )
             keys.clear()
             learned.clear()
+            groups.clear()
+            _trim()
             return result
 
         for b in batches:
