@@ -426,8 +426,13 @@ class Learned(Texts):
 # Shards in the shared folder
 
 
-def _write_shards(train: DataFrame, shards: int) -> str:
-    """Build shards of the texts and store them; returns the folder's URI."""
+def _write_shards(train: DataFrame, shards: int) -> tuple[str, int, int]:
+    """Build shards of the texts and store them; returns the folder's URI, the tokens and the different words.
+
+    Tasks write their shard as one file, under another name first, so that a
+    task that is tried again or twice does no harm; what passes through Spark
+    is the shard's words and their counts.
+    """
     spark = train.sparkSession
     path = f"{shared_dir(spark)}/sparkhist-shards-{uuid.uuid4().hex}"
     _common.watch(spark, path)
@@ -435,6 +440,8 @@ def _write_shards(train: DataFrame, shards: int) -> str:
     dealt = train.select("text", row.alias("shard")).repartitionById(shards, "shard")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         hashes, shard = [], None
         for b in batches:
             if b.num_rows:
@@ -443,38 +450,41 @@ def _write_shards(train: DataFrame, shards: int) -> str:
         if shard is None:
             return
         s = Shard.build(hashes)
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
+        draft = f"{root}/draft-{uuid.uuid4().hex}"
+        with system.open_output_stream(draft) as f:
+            parts = (s.vocabulary, s.tokens, s.order)
+            f.write(np.array([x.nbytes for x in parts], np.int64).tobytes())
+            for x in parts:
+                f.write(memoryview(x).cast("B"))
+        system.move(draft, f"{root}/shard-{shard}")
+        words, counts = s.vocabulary.view(np.int64), s.counts
+        del s, parts
         _trim()
-        for kind, x in enumerate((s.vocabulary, s.tokens, s.order)):
-            for part, i in enumerate(range(0, len(x), 1 << 20)):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([part], pa.int32()),
-                        pa.array([x[i : i + (1 << 20)].tobytes()], pa.binary()),
-                    ],
-                    names=["shard", "kind", "part", "data"],
-                )
+        for i in range(0, len(words), 1 << 16):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16)].astype(np.int64))],
+                names=["word", "n"],
+            )
 
-    out = dealt.mapInArrow(build, "shard int, kind int, part int, data binary")
-    out.write.partitionBy("shard").parquet(path)
-    return path
+    found = dealt.mapInArrow(build, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    row = found.agg(F.sum("n"), F.count("*")).first()
+    return path, int(row[0] or 0), int(row[1])
 
 
 def _read_shard(path: str, shard: int) -> Shard | None:
-    import pyarrow.parquet as pq
+    """A stored shard, or None where no text was dealt to it."""
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(path)
-    folder = f"{root}/shard={shard}"
-    if system.get_file_info(folder).type != fs.FileType.Directory:
+    file = f"{root}/shard-{shard}"
+    if system.get_file_info(file).type != fs.FileType.File:
         return None
-    parts: dict[int, dict[int, bytes]] = {0: {}, 1: {}, 2: {}}
-    for info in system.get_file_info(fs.FileSelector(folder)):
-        if info.base_name.endswith(".parquet"):
-            with system.open_input_file(info.path) as f:
-                for b in pq.ParquetFile(f).iter_batches(batch_size=1):
-                    parts[b.column("kind")[0].as_py()][b.column("part")[0].as_py()] = b.column("data")[0].as_py()
-    join = lambda kind, type_: np.frombuffer(b"".join(v for _, v in sorted(parts.pop(kind).items())), type_)
-    return Shard(join(0, np.uint64), join(1, np.int32), join(2, np.int32)).open()
+    with system.open_input_file(file) as f:
+        sizes = np.frombuffer(f.read(24), np.int64)
+        parts = [np.frombuffer(f.read_buffer(int(n)), t) for n, t in zip(sizes, (np.uint64, np.int32, np.int32))]
+    return Shard(*parts).open()
 
 
 def _trim() -> None:
@@ -488,21 +498,6 @@ def _trim() -> None:
         return
 
 
-def _totals(spark, path: str) -> tuple[int, int]:
-    """Tokens and different words of all shards."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for kind, data in zip(b.column("kind").to_pylist(), b.column("data")):
-                x = np.frombuffer(data.as_py(), np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x)], names=["word"])
-
-    stored = spark.read.schema("kind int, part int, data binary, shard int").parquet(path)
-    distinct = stored.where("kind = 0").select("kind", "data").mapInArrow(words, "word long").distinct().count()
-    size = stored.where("kind = 1").agg(F.sum(F.octet_length("data") / 4)).first()[0] or 0
-    return int(size), int(distinct)
-
-
 def score(
     docs: DataFrame,
     trains,
@@ -518,7 +513,6 @@ def score(
     rows are texts of their own and count as often; other columns are not
     read.  Without training rows all words are unknown and scores 0.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     src = src.withColumn("learned", F.coalesce(trains, F.lit(False)))
     train = src.where("learned").select("text")
@@ -530,9 +524,7 @@ def score(
     shards = -(-int(size[0] or 0) // shard_bytes) if size[1] else 0
     path, total, distinct = "", 0, 0
     if shards:
-        path = _write_shards(train, shards)
-        stored, distinct = _totals(spark, path)
-        total = stored - size[1]  # without separators
+        path, total, distinct = _write_shards(train, shards)
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
