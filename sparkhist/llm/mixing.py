@@ -35,12 +35,13 @@ def targets(sizes: list[float], weights: list[float], total: float, most: float
     """Shares of `total` by weight, none above `most` times its size, the excess reshared."""
     out = [0.0] * len(sizes)
     free = list(range(len(sizes)))
+    left = total
     while free:
-        left = total - sum(out[i] for i in range(len(sizes)) if i not in set(free))
         per = left / sum(weights[i] for i in free)
         over = [i for i in free if per * weights[i] > most * sizes[i]]
         for i in over:
             out[i] = most * sizes[i]
+            left -= out[i]
         if not over:
             for i in free:
                 out[i] = per * weights[i]
