@@ -458,7 +458,10 @@ def _write_shards(train: DataFrame, shards: int) -> tuple[str, int, int]:
             f.write(np.array([x.nbytes for x in parts], np.int64).tobytes())
             for x in parts:
                 f.write(memoryview(x).cast("B"))
-        system.move(draft, f"{root}/shard-{shard}")
+        if system.get_file_info(f"{root}/shard-{shard}").type == fs.FileType.File:
+            system.delete_file(draft)  # an earlier try got so far
+        else:
+            system.move(draft, f"{root}/shard-{shard}")
         words, counts = s.vocabulary.view(np.int64), s.counts
         del s, parts
         _trim()
