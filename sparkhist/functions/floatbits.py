@@ -98,19 +98,23 @@ def parts(u: float) -> tuple[float, int]:
     return 1.0 + (bits & 0xFFFFFFFFFFFFF) / 4503599627370496.0, bits >> 52
 
 
-def exponent(u: Column) -> Column:
-    """floor(log2(u)) of a normal finite positive column, exact where log2 isn't.
+def sql(x: float) -> str:
+    """A double in Spark SQL."""
+    return f"double('{x!r}')"
+
+
+def exponent(u: str) -> str:
+    """floor(log2(u)) of a normal finite positive double, in SQL; exact where log2 isn't.
 
     Without conditions, so that generated code evaluates each repeated part once.
     """
-    e = F.floor(F.log2(u)).cast("double")
-    two = F.lit(2.0)
-    return e - (F.pow(two, e) > u).cast("double") + (F.pow(two, e + 1) <= u).cast("double")
+    e = f"double(floor(log2({u})))"
+    return f"({e} - double(power(2D, {e}) > {u}) + double(power(2D, {e} + 1D) <= {u}))"
 
 
-def negative(x: Column) -> Column:
-    """The sign bit of a double column."""
-    return (x < 0) | ((x == 0) & (x.cast("string") == "-0.0"))
+def negative(x: str) -> str:
+    """The sign bit of a double, in SQL."""
+    return f"({x} < 0D OR ({x} = 0D AND string({x}) = '-0.0'))"
 
 
 def negative_zero(x: Column) -> Column:

@@ -54,7 +54,7 @@ def record(
     rows = rows.where(F.col("_x").isNotNull())
     if weight is not None:
         rows = rows.where(F.col("_w") > 0)
-    rows = rows.withColumn("bin_index", layout.column(F.col("_x")))
+    rows = rows.withColumn("bin_index", layout.column("_x"))
     zero = fb.negative_zero(F.col("_x"))
     return rows.groupBy(*keys, "bin_index").agg(
         (F.count(F.lit(1)) if weight is None else F.sum("_w")).alias("bin_count"),

@@ -20,10 +20,10 @@ _LOWEST, _HIGHEST = fb.double_to_ordered(-fb.INF), fb.double_to_ordered(fb.INF)
 
 
 class Layout:
-    """Subclasses give `underflow`, `overflow`, `raw_index` and `raw_column`.
+    """Subclasses give `underflow`, `overflow`, `raw_index` and `raw_sql`.
 
-    A user's own layout may leave `raw_column` out; `raw_index` then runs in
-    an Arrow-batched function.
+    A user's own layout may leave `raw_sql` out; `raw_index` then runs in an
+    Arrow-batched function.
     """
 
     underflow: int
@@ -33,9 +33,9 @@ class Layout:
         """The bin of a number before clamping; monotone."""
         raise NotImplementedError
 
-    def raw_column(self, x: Column) -> Column:
-        """The bin of a finite double column as a double; may exceed the range."""
-        return _python_index(self)(x).cast("double")
+    def raw_sql(self, x: str) -> str | None:
+        """SQL for the bin of a finite double, as a double; it may exceed the range."""
+        return None
 
     def index(self, value: float) -> int:
         """The bin of a number, within [underflow, overflow]; ValueError for NaN."""
@@ -45,20 +45,24 @@ class Layout:
             return self.overflow if value > 0 else self.underflow
         return min(max(self.raw_index(value), self.underflow), self.overflow)
 
-    def column(self, x: Column) -> Column:
-        """`index` as an expression; NaN fails the query, null stays null.
+    def column(self, name: str) -> Column:
+        """`index` of a double column; NaN fails the query, null stays null.
 
         Arithmetic instead of conditions, for which repeated parts would be
-        evaluated again and again.
+        evaluated again and again; and text, which takes one call to build.
         """
-        x = x.cast("double")
-        lo, hi = F.lit(float(self.underflow)), F.lit(float(self.overflow))
-        infinite = (F.abs(x) == F.lit(fb.INF)).cast("double") * F.signum(x) * F.lit(1e18)
-        finite = F.least(F.greatest(x, F.lit(-fb.MAX_VALUE)), F.lit(fb.MAX_VALUE))
-        i = F.least(F.greatest(self.raw_column(finite) + infinite, lo), hi).cast("int")
-        checked = F.assert_true(~F.isnan(x), F.lit("NaN can't be recorded")).cast("int")
-        null = F.when(x.isNull(), F.lit(None).cast("int")).otherwise(F.lit(0))  # least and greatest skip nulls
-        return i + F.coalesce(checked, F.lit(0)) + null
+        checks = (
+            f"coalesce(int(assert_true(NOT isnan({name}), \"NaN can't be recorded\")), 0) "
+            f"+ CASE WHEN {name} IS NULL THEN CAST(NULL AS INT) ELSE 0 END"  # least and greatest skip nulls
+        )
+        top, lo, hi = fb.sql(fb.MAX_VALUE), fb.sql(float(self.underflow)), fb.sql(float(self.overflow))
+        finite = f"least(greatest({name}, -{top}), {top})"
+        infinite = f"double(abs({name}) = double('Infinity')) * signum({name}) * 1e18D"
+        raw = self.raw_sql(finite)
+        if raw is not None:
+            return F.expr(f"int(least(greatest({raw} + {infinite}, {lo}), {hi})) + {checks}")
+        i = _python_index(self)(F.expr(finite)).cast("double") + F.expr(infinite)
+        return F.least(F.greatest(i, F.expr(lo)), F.expr(hi)).cast("int") + F.expr(checks)
 
     def seed(self, i: int) -> float | None:
         """A guess of the lower bound of bin i, if there is a cheap one."""
@@ -136,7 +140,7 @@ class _LogLayout(Layout):
         raise NotImplementedError
 
     @staticmethod
-    def _growth_column(u: Column) -> Column:
+    def _growth_sql(u: str) -> str:
         raise NotImplementedError
 
     @staticmethod
@@ -173,20 +177,17 @@ class _LogLayout(Layout):
             i = fb.truncated(self.sub * u)
         return ~i if fb.is_negative(value) else i
 
-    def raw_column(self, x: Column) -> Column:
-        u = F.abs(x)
-        small = F.floor(F.lit(self.sub) * F.least(u, F.lit(self.limit))).cast("double")
-        if math.isinf(self.limit) or math.isinf(self.scale):
-            i = small
-        else:
-            big = F.greatest(u, F.lit(max(self.limit, fb.MIN_NORMAL)))
-            wide = F.floor(F.lit(self.scale) * self._growth_column(big) + F.lit(self.offset)).cast("double")
-            start = float(fb.truncated(self.scale * self._growth(self.limit) + self.offset))
+    def raw_sql(self, x: str) -> str:
+        u, limit = f"abs({x})", fb.sql(self.limit)
+        i = f"double(floor({fb.sql(self.sub)} * least({u}, {limit})))"
+        if not (math.isinf(self.limit) or math.isinf(self.scale)):
+            big = f"greatest({u}, {fb.sql(max(self.limit, fb.MIN_NORMAL))})"
+            wide = f"double(floor({fb.sql(self.scale)} * {self._growth_sql(big)} + {fb.sql(self.offset)}))"
+            start = fb.sql(float(fb.truncated(self.scale * self._growth(self.limit) + self.offset)))
             # Below the limit the second part is the limit's bin; from it on the first adds nothing.
-            i = wide + F.least(small - F.lit(start), F.lit(0.0))
-        i = F.least(i, F.lit(float(fb.INT_MAX)))
-        sign = fb.negative(x).cast("double")
-        return i * (F.lit(1.0) - sign * 2) - sign
+            i = f"({wide} + least({i} - {start}, 0D))"
+        sign = f"double({fb.negative(x)})"
+        return f"(least({i}, {fb.sql(float(fb.INT_MAX))}) * (1D - {sign} * 2D) - {sign})"
 
     def seed(self, i: int) -> float:
         if i < 0:
@@ -226,9 +227,9 @@ class LogLinearLayout(_LogLayout):
         return m + e
 
     @staticmethod
-    def _growth_column(u: Column) -> Column:
+    def _growth_sql(u: str) -> str:
         e = fb.exponent(u)
-        return u / F.pow(F.lit(2.0), e) + (e + 1023)
+        return f"({u} / power(2D, {e}) + ({e} + 1023D))"
 
     @staticmethod
     def _shrink(g: float) -> float:
@@ -249,10 +250,10 @@ class LogQuadraticLayout(_LogLayout):
         return (m - 1.0) * (5.0 - m) + 3.0 * e
 
     @staticmethod
-    def _growth_column(u: Column) -> Column:
+    def _growth_sql(u: str) -> str:
         e = fb.exponent(u)
-        m = u / F.pow(F.lit(2.0), e)
-        return (m - 1.0) * (F.lit(5.0) - m) + F.lit(3.0) * (e + 1023)
+        m = f"({u} / power(2D, {e}))"
+        return f"(({m} - 1D) * (5D - {m}) + 3D * ({e} + 1023D))"
 
     @staticmethod
     def _shrink(g: float) -> float:
@@ -268,8 +269,8 @@ class LogOptimalLayout(_LogLayout):
         return math.log(u) - math.log(fb.MIN_VALUE)
 
     @staticmethod
-    def _growth_column(u: Column) -> Column:
-        return F.ln(u) - F.lit(math.log(fb.MIN_VALUE))
+    def _growth_sql(u: str) -> str:
+        return f"(ln({u}) - {fb.sql(math.log(fb.MIN_VALUE))})"
 
     @staticmethod
     def _shrink(g: float) -> float:
@@ -330,24 +331,22 @@ class ExponentialLayout(Layout):
             i = self._plain(u) + self.shift
         return -i if fb.is_negative(value) else i
 
-    def raw_column(self, x: Column) -> Column:
-        u = F.abs(x)
-        least = F.lit(self.first_bits * fb.MIN_VALUE)
-        big = F.greatest(u, least)
-        tiny = (big < F.lit(fb.MIN_NORMAL)).cast("double")
-        v = big * (F.lit(1.0) + tiny * F.lit(2.0**60 - 1))  # subnormal numbers made normal, exactly
+    def raw_sql(self, x: str) -> str:
+        u, least, n = f"abs({x})", fb.sql(self.first_bits * fb.MIN_VALUE), 1 << self.scale
+        big = f"greatest({u}, {least})"
+        tiny = f"double({big} < {fb.sql(fb.MIN_NORMAL)})"
+        v = f"({big} * (1D + {tiny} * {fb.sql(2.0**60 - 1)}))"  # subnormal numbers made normal, exactly
         e = fb.exponent(v)
-        m = v / F.pow(F.lit(2.0), e)
-        n = 1 << self.scale
-        k = F.lit(0.0)
+        m = f"({v} / power(2D, {e}))"
+        k = "0D"
         if n > 1:
             # The logarithm guesses the bucket; the exact boundaries beside it decide.
-            edges = F.array(*(F.lit(b) for b in [1.0, *self.bounds, 2.0]))
-            g = F.least(F.greatest(F.floor(F.log2(m) * n), F.lit(0)), F.lit(n - 1)).cast("int")
-            k = g - (F.get(edges, g) > m).cast("double") + (F.get(edges, g + 1) <= m).cast("double")
-        i = (e + 1023 - tiny * 60) * n + k + float(self.shift)
-        i = i + F.least(F.floor(F.least(u, least) / F.lit(fb.MIN_VALUE)) - F.lit(self.first_bits), F.lit(0)).cast("double")
-        return i * (F.lit(1.0) - fb.negative(x).cast("double") * 2)
+            edges = f"array({', '.join(map(fb.sql, [1.0, *self.bounds, 2.0]))})"
+            g = f"int(least(greatest(floor(log2({m}) * {n}D), 0L), {n - 1}L))"
+            k = f"({g} - double(get({edges}, {g}) > {m}) + double(get({edges}, {g} + 1) <= {m}))"
+        i = f"(({e} + 1023D - {tiny} * 60D) * {n}D + {k} + {fb.sql(float(self.shift))})"
+        below = f"double(least(floor(least({u}, {least}) / {fb.sql(fb.MIN_VALUE)}) - {self.first_bits}L, 0L))"
+        return f"(({i} + {below}) * (1D - double({fb.negative(x)}) * 2D))"
 
     def seed(self, i: int) -> float:
         a = abs(i)
@@ -399,16 +398,15 @@ class CustomLayout(Layout):
             raise ValueError("NaN has no bin")
         return self.raw_index(value)
 
-    def raw_column(self, x: Column) -> Column:
+    def raw_sql(self, x: str) -> str:
         b = self.boundaries
         if len(b) <= 64:
-            i = sum((F.when(x >= v, 1).otherwise(0) for v in b), F.lit(0))
+            i = " + ".join(f"double({x} >= {fb.sql(v)})" for v in b)
         else:
-            edges = F.array(*(F.lit(v) for v in b))
-            i = F.size(F.filter(edges, lambda v: v <= x))
+            i = f"double(size(filter(array({', '.join(map(fb.sql, b))}), v -> v <= {x})))"
         if any(v == 0 and not fb.is_negative(v) for v in b):
-            i = i - F.when(fb.negative_zero(x), 1).otherwise(0)
-        return i.cast("double")
+            i += f" - double({x} = 0D AND string({x}) = '-0.0')"
+        return f"({i})"
 
     def lower_bound(self, i: int) -> float:
         return -fb.INF if i <= 0 else self.boundaries[min(i, len(self.boundaries)) - 1]

@@ -41,7 +41,7 @@ def record_windows(
         rows = rows.withWatermark("_t", late)
     one = F.sum("_w") if weight else F.count(F.lit(1))
     if session:
-        pairs = rows.select("_t", *keys, layout.column(F.col("_x")).alias("bin_index"), "_x", *(["_w"] if weight else []))
+        pairs = rows.select("_t", *keys, layout.column("_x").alias("bin_index"), "_x", *(["_w"] if weight else []))
         packed = pairs.groupBy(F.session_window("_t", duration).alias("w"), *keys).agg(
             F.collect_list(F.struct("bin_index", "_x", (F.col("_w") if weight else F.lit(1)).alias("n"))).alias("all")
         )
@@ -52,7 +52,7 @@ def record_windows(
             F.col("v._x").alias("bin_min"), F.col("v._x").alias("bin_max"),
         )
     w = F.window("_t", duration, slide) if slide else F.window("_t", duration)
-    out = rows.groupBy(w.alias("w"), *keys, layout.column(F.col("_x")).alias("bin_index")).agg(
+    out = rows.groupBy(w.alias("w"), *keys, layout.column("_x").alias("bin_index")).agg(
         one.alias("bin_count"), F.min("_x").alias("bin_min"), F.max("_x").alias("bin_max")
     )
     return out.select(

@@ -18,8 +18,8 @@ class Rounded(Layout):
     def raw_index(self, value):
         return int(value + 0.5) if value >= 0 else int(value - 0.5)
 
-    def raw_column(self, x):
-        return F.floor(F.abs(x) + 0.5).cast("double") * F.signum(x)
+    def raw_sql(self, x):
+        return f"(double(floor(abs({x}) + 0.5D)) * signum({x}))"
 
     def _key(self):
         return self.underflow, self.overflow
