@@ -1,4 +1,4 @@
-"""A training corpus from raw documents, in five stages.
+"""A training corpus from raw documents, in six stages.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor
 kept and returns a DataFrame, which is written as Parquet and read again as
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkhist.llm import line_dedup, mixing, packing, simhash, toxicity
+from sparkhist.llm import line_dedup, mixing, packing, shingles, simhash, toxicity
 from sparkhist.llm._common import materialize
 
 
@@ -31,10 +31,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest id."""
+    """One row of each group whose fingerprints differ in two bits at most, that of the smallest id."""
     return simhash.keep_first(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of Jaccard similarity 0.8 or more in five-word shingles, that of the smallest id."""
+    return shingles.keep_first(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them, each row never, once or twice."""
     return mixing.mix(docs)
@@ -49,6 +54,7 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_lines),
     ("simhash_near_dedup", drop_near_copies),
+    ("shingle_near_dedup", drop_similar),
     ("mixing", mix_sources),
     ("packing", pack),
 ]

@@ -137,7 +137,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Where several rows have that id, one is kept, the smallest as a tuple.  A
     group without any id keeps its rows, which can't be told apart by id.
     """
-    seen = near_duplicates(docs, id_col, text_col)
+    return keep_components(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def keep_components(docs: DataFrame, seen: DataFrame, id_col: str) -> DataFrame:
+    """`keep_first` by the groups in `seen`: doc_id and component_id of every row of `docs`."""
     out = seen.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     drop = out.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_sd_id")).distinct()
     keepers = seen.where(F.col("doc_id") == F.col("component_id"))
