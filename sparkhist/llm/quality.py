@@ -49,7 +49,7 @@ def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         f"#repeats{share(1 - len(set(lines)) / len(lines))}",
         f"#top{share(max(counts.values(), default=0) / max(1, n))}",
         f"#length{level(len(text) / max(1, len(words)))}",
-        f"#upper{share(sum(map(str.isupper, text[::7])) / max(1, len(text[::7])))}",
+        f"#upper{share(sum(map(str.isupper, text)) / max(1, len(text)))}",
     ]
     norm = np.sqrt(sum(np.log1p(c) ** 2 for c in counts.values())) or 1.0
     feats: Counter = Counter()

@@ -119,3 +119,9 @@ def test_ordinal_regression():
     assert model.cuts == pytest.approx([-1, 2], abs=0.3) and (np.diff(model.cuts) > 0).all()
     tails = model.tails(np.array([-3.0, 0.0, 3.0]))
     assert (np.diff(tails, axis=1) < 0).all() and (np.diff(tails, axis=0) > 0).all()
+
+
+def test_quality_counts_all_capitals():
+    feature = lambda n: quality.crc32(f"#upper{n}".encode()) % quality.DIMS
+    index, _ = quality.hashed("aBBBBBBaBBBBBBaBBBBBB")  # every seventh letter is small
+    assert feature(17) in index and feature(0) not in index
