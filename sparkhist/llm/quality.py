@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from sparkhist.llm._common import crc_mod, materialize
 
-#: Rated rows to learn from, at most, and hashed tokens kept of each of them.
-SAMPLE, NONZERO = 6_000, 4_096
+#: Rated rows to learn from, at most.
+SAMPLE = 6_000
 DIMS = 1 << 18
 #: Documents whose tail probability reaches this are kept.
 KEEP = 0.35
@@ -135,8 +135,7 @@ def fit(
             out = []
             for t in b.column("text"):
                 i, v = hashed(t.as_py())
-                top = np.argsort(-v, kind="stable")[:NONZERO] if len(v) > NONZERO else slice(None)
-                out.append((i[top].astype(np.int32), v[top].astype(np.float32)))
+                out.append((i.astype(np.int32), v.astype(np.float32)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.float32())), b.column("y")],
                 names=["i", "v", "y"],

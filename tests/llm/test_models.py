@@ -125,3 +125,10 @@ def test_quality_counts_all_capitals():
     feature = lambda n: quality.crc32(f"#upper{n}".encode()) % quality.DIMS
     index, _ = quality.hashed("aBBBBBBaBBBBBBaBBBBBB")  # every seventh letter is small
     assert feature(17) in index and feature(0) not in index
+
+
+def test_quality_learns_from_all_of_a_long_text(spark):
+    text = " ".join("w" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(9000))
+    rows = spark.createDataFrame([(i, text if i % 2 else "other", i % 2) for i in range(12)], "doc_id long, text string, g int")
+    model = quality.fit(rows.drop("g"), rows.drop("text"), F.col("g"), 2)
+    assert (model.weights[quality.hashed(text)[0]] != 0).all()
