@@ -124,7 +124,8 @@ def _scan(index: Index, k: int, queries: pa.Table, rows: pa.Table) -> tuple[list
         alive = alive[xid[alive] != qid[i]]
         if len(alive):
             s = np.array([float(np.dot(x[j], q[i])) for j in alive]) if len(alive) <= 4 else x[alive] @ q[i]
-            best = np.lexsort((xid[alive], -s))[:k]
+            best = np.lexsort((xid[alive], -s))
+            best = best[np.sort(np.unique(xid[alive][best], return_index=True)[1])][:k]  # a repeated id once
             out_q += [qid[i]] * len(best)
             out_x += xid[alive][best].tolist()
             out_s += s[best].tolist()
@@ -140,7 +141,8 @@ def search(
     of other ids whose vectors have its length.  Vectors that are null, zero
     or hold null or non-finite numbers take no part, nor do rows without id;
     a query id that repeats is asked once, with the smallest of its vectors;
-    equal scores go by id.  Other columns are not read.
+    a candidate id that repeats is found once, with its best score; equal scores
+    go by id.  Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable_vector(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
@@ -186,19 +188,22 @@ def _search_dim(rows: DataFrame, n: int, longest: float, k: int) -> DataFrame:
     size = {r.list: r.n for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     sizes = np.array([size.get(i, 0) for i in range(len(index.centroids))])
 
+    by_id = np.argsort(index.anchor_ids, kind="stable")
+    anchor_ids, starts = np.unique(index.anchor_ids[by_id], return_index=True)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             q = matrix(b.column("vec"))
             ids = b.column("vec_id").to_numpy()
-            score = q @ index.anchors.T
-            score[ids[:, None] == index.anchor_ids[None, :]] = -np.inf
+            score = np.maximum.reduceat((q @ index.anchors.T)[:, by_id], starts, axis=1)  # a repeated id counts once
+            score[ids[:, None] == anchor_ids[None, :]] = -np.inf
             near = np.argsort(-score, axis=1, kind="stable")[:, :k]
             best = np.take_along_axis(score, near, 1)
             floor = best[:, -1] if best.shape[1] == k else np.full(len(q), -np.inf)
             valid = best > -np.inf
-            met = [index.anchor_ids[r[v]] for r, v in zip(near, valid)]
+            met = [anchor_ids[r[v]] for r, v in zip(near, valid)]
             met_score = [r[v] for r, v in zip(best, valid)]
             order = np.argsort(_distances(index.lift_query(q), index.centroids), axis=1, kind="stable")
             enough = (np.cumsum(sizes[order], axis=1) < 10 * k + 1).sum(1) + 1

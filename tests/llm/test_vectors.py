@@ -121,3 +121,9 @@ def test_rotation_keeps_distances():
     d = ann._distances(q, lifted)
     assert np.allclose(d, (x[:4] ** 2).sum(1)[:, None] + index.longest - 2 * x[:4] @ x.T)
     assert random.Random(0).random() < 1
+
+
+def test_repeated_ids_take_one_place(spark):
+    rows = [(20, [1.0, 0.0], 0)] + [(1, [9.0, 0.0], 0)] * 100 + [(100 + i, [8.0 - i / 10, 0.0], 0) for i in range(30)]
+    got = ann.search(table(spark, rows), __import__("pyspark").sql.functions.col("vec_id") == 20, k=20)
+    assert [r.vec_id for r in got.orderBy("rank").collect()] == [1, *range(100, 119)]
