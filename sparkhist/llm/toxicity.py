@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkhist.llm._common import crc_mod, materialize
@@ -229,8 +229,21 @@ def _sampled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     return src.join(F.broadcast(ids), src["doc_id"] == ids["_tx_id"]).select("text", "y", fold.alias("fold"))
 
 
-def _mine(rows: DataFrame) -> list[tuple[str, list[int]]]:
-    """Terms with documents by fold and label, those that could matter."""
+def _accepted(folds: tuple[int, ...], size: dict[tuple[int, int], int]) -> Column:
+    """True for terms that `_lexicon` takes from these folds; the ratio has some slack for rounding."""
+    clean_docs, toxic_docs = (sum(size.get((f, y), 0) for f in folds) for y in (0, 1))
+    if not toxic_docs:
+        return F.lit(False)
+    a, b = (sum((F.col(f"n{2 * f + y}") for f in folds), F.lit(0)) for y in (1, 0))
+    share = (a + b) / float(clean_docs + toxic_docs)
+    rest = F.when(b > 0, b * F.log(b / (share * float(max(1, clean_docs))))).otherwise(0.0)
+    ratio = 2 * (F.when(a > 0, a * F.log(a / (share * float(toxic_docs)))).otherwise(0.0) + rest)
+    least = LEAST_RATIO if len(folds) > 1 else LEAST_RATIO / 2
+    return (a / float(toxic_docs) > 4 * b / float(max(1, clean_docs)) - 1e-12) & (ratio >= least - 1e-6)
+
+
+def _mine(rows: DataFrame, size: dict[tuple[int, int], int]) -> list[tuple[str, list[int]]]:
+    """Terms with documents by fold and label, those that a lexicon takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,7 +264,8 @@ def _mine(rows: DataFrame) -> list[tuple[str, list[int]]]:
     by = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)]
     found = rows.mapInArrow(run, "term string, k int, n long").groupBy("term").agg(*by)
     toxic, clean = F.col("n1") + F.col("n3"), F.col("n0") + F.col("n2")
-    found = found.where(toxic >= LEAST_DOCS).orderBy(
+    taken = _accepted((0,), size) | _accepted((1,), size) | _accepted((0, 1), size)
+    found = found.where((toxic >= LEAST_DOCS) & taken).orderBy(
         (toxic * F.log((toxic + 0.5) / (clean + 0.5))).desc(), "term"
     )
     return [(r.term, [r.n0, r.n1, r.n2, r.n3]) for r in found.limit(MINED).collect()]
@@ -293,7 +307,7 @@ def fit(
     total, toxic = sum(size.values()), sum(v for (_, y), v in size.items() if y)
     if not toxic or toxic == total:
         return Model(Lexicon(), None, (np.zeros(1), np.zeros(1)), toxic / total if total else 0.0)
-    found = _mine(rows)
+    found = _mine(rows, size)
     other = {0: _lexicon(found, (1,), size), 1: _lexicon(found, (0,), size)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 from weird import documents, texts
@@ -48,3 +49,18 @@ def test_isotonic_and_trees():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     raw = toxicity.Trees().fit(x[:1500], y[:1500]).raw(x[1500:])
     assert ((raw > 0) == (y[1500:] > 0)).mean() > 0.95
+
+
+def test_limit_of_terms_spares_accepted_ones(spark, monkeypatch):
+    """A term that is toxic by rate only is not crowded out by terms that no lexicon takes."""
+    rows = [("blarg" if i % 2 else "weak", 1, i % 4 // 2) for i in range(80)]
+    rows += [("blarg", 0, i % 2) for i in range(60)] + [("plain", 0, i % 2) for i in range(2000)]
+    rows += [(f"rare{chr(97 + i)}", 1, f) for i in range(5) for f in (0, 0, 1)]
+    size = Counter((f, y) for _, y, f in rows)
+    found = lambda: toxicity._mine(spark.createDataFrame(rows, "text string, y int, fold int"), size)
+    whole = toxicity._lexicon(found(), (0, 1), size)
+    assert "blarg" in whole.words and "plain" not in whole.words
+    monkeypatch.setattr(toxicity, "MINED", len(found()))
+    assert toxicity._lexicon(found(), (0, 1), size) == whole
+    assert all(any(t in x.words or t[1:] in x.roots.get(int(t[0]) if t[0].isdigit() else 0, ()) for x in
+                   (toxicity._lexicon(found(), f, size) for f in ((0,), (1,), (0, 1)))) for t, _ in found())
