@@ -29,6 +29,14 @@ DIMS = 1 << 18
 #: Documents whose tail probability reaches this are kept.
 KEEP = 0.35
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
+WIDE = re.compile(r"[^\x00-\x7f]+")
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def capitals(text: str) -> int:
+    """Upper-case letters of a whole text, those of ASCII counted in bulk."""
+    raw = text.encode()
+    return len(raw) - len(raw.translate(None, CAPITALS)) + sum(map(str.isupper, "".join(WIDE.findall(text))))
 
 
 def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +57,7 @@ def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         f"#repeats{share(1 - len(set(lines)) / len(lines))}",
         f"#top{share(max(counts.values(), default=0) / max(1, n))}",
         f"#length{level(len(text) / max(1, len(words)))}",
-        f"#upper{share(sum(map(str.isupper, text)) / max(1, len(text)))}",
+        f"#upper{share(capitals(text) / max(1, len(text)))}",
     ]
     norm = np.sqrt(sum(np.log1p(c) ** 2 for c in counts.values())) or 1.0
     feats: Counter = Counter()

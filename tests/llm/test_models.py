@@ -125,6 +125,8 @@ def test_quality_counts_all_capitals():
     feature = lambda n: quality.crc32(f"#upper{n}".encode()) % quality.DIMS
     index, _ = quality.hashed("aBBBBBBaBBBBBBaBBBBBB")  # every seventh letter is small
     assert feature(17) in index and feature(0) not in index
+    for text in ("", "Ab cÉ ÄÖü ǅ Ⅷ 日本 XYZ", "a" * 9 + "B"):
+        assert quality.capitals(text) == sum(map(str.isupper, text))
 
 
 def test_quality_learns_from_all_of_a_long_text(spark):
