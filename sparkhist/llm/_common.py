@@ -74,6 +74,18 @@ def discard(df: DataFrame) -> None:
             _written.remove(item)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each lengthened until no column of `df` has it (letter case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def split_join(big: DataFrame, keyed: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
     """Join `big` with `keyed` (one row per key) without piling a hot key on one task.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import materialize, split_join
+from sparkhist.llm._common import fresh, materialize, split_join
 
 #: The ASCII white space that is stripped from a line's ends.
 BLANK = " \t\n\x0b\x0c\r"
@@ -56,7 +56,10 @@ def apply_runs(lines: Column, runs: Column) -> Column:
 def keep_bitmaps(
     docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, text_hash, runs) of the documents that lose lines.
+    """(doc_id, text_hash, n_lines, n_dropped, keep_runs) of the documents that lose lines.
+
+    ``keep_runs`` is the compressed keep bitmap: run lengths of kept and
+    dropped lines in turn, see `runs_of`.  No text is returned.
 
     A line's key is the line stripped of ASCII blanks with A-Z lower-cased.
     Keys of at least `min_chars` code points in at least `min_docs` documents
@@ -64,10 +67,13 @@ def keep_bitmaps(
     one id are one document; rows without id together are one, which counts
     as smaller than all others.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
-        F.char_length("text") >= min_chars
+    text = F.col(text_col).cast("string")
+    # Only names of this function's own from here on, whatever other columns `docs` has.
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.char_length("text") >= min_chars)
+    rows = rows.withColumn("lines", split_lines(F.col("text")))
+    lines = rows.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.size("lines").alias("n"), F.posexplode("lines")
     )
-    lines = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(split_lines(F.col("text"))))
     lines = lines.where(F.char_length("col") >= min_chars)
     lines = lines.withColumn("key", F.trim(F.col("col"), F.lit(BLANK))).where(F.char_length("key") >= min_chars)
     lines = lines.withColumn("key", ascii_lower(F.col("key")))
@@ -77,6 +83,7 @@ def keep_bitmaps(
             F.xxhash64(F.lit(1), "key").alias("h2"),
             "doc_id",
             "text_hash",
+            "n",
             F.col("pos").cast("int").alias("pos"),
         ),
         "lines",
@@ -91,7 +98,16 @@ def keep_bitmaps(
     )
     shared = materialize(shared.where(F.col("n_docs") >= min_docs).drop("n_docs"), "shared")
     dropped = split_join(lines, shared, ["h1", "h2"], "n_lines").where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
-    return dropped.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    found = dropped.groupBy("doc_id", "text_hash").agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_set("pos")).alias("dropped")
+    )
+    return found.select(
+        "doc_id",
+        "text_hash",
+        F.col("n").alias("n_lines"),
+        F.size("dropped").alias("n_dropped"),
+        runs_of(F.col("dropped"), F.col("n")).alias("keep_runs"),
+    )
 
 
 def dedup_lines(
@@ -100,37 +116,42 @@ def dedup_lines(
     """`docs` with `text_col` freed of shared lines, plus n_lines, n_dropped, keep_runs in a struct ``line_dedup``.
 
     All rows and columns stay; texts that lose nothing stay as they are
-    (null too).  See `keep_bitmaps` for what is dropped.  Columns that `docs`
-    has besides may have any name but ``line_dedup``.
+    (null too, which counts as one empty line).  Repeated rows each stay and
+    lose the same lines; an empty table stays empty.  See `keep_bitmaps` for
+    what is dropped.  Columns that `docs` has besides may have any name but
+    ``line_dedup``.
     """
+    k_id, k_hash, k_dropped, k_runs, text_hash = fresh(docs, "ld_id", "ld_hash", "ld_dropped", "ld_runs", "ld_text")
     bitmaps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col).select(
-        F.col("doc_id").alias("_ld_id"), F.col("text_hash").alias("_ld_hash"), F.col("dropped").alias("_ld_dropped")
+        F.col("doc_id").alias(k_id), F.col("text_hash").alias(k_hash),
+        F.col("n_dropped").alias(k_dropped), F.col("keep_runs").alias(k_runs),
     )
-    keyed = docs.withColumn("_ld_text", F.xxhash64(F.col(text_col).cast("string")))
+    keyed = docs.withColumn(text_hash, F.xxhash64(F.col(text_col).cast("string")))
     joined = keyed.join(
-        bitmaps.hint("shuffle_hash"),
-        keyed[id_col].eqNullSafe(F.col("_ld_id")) & (F.col("_ld_text") == F.col("_ld_hash")),
-        "left",
+        bitmaps, keyed[id_col].eqNullSafe(bitmaps[k_id]) & (keyed[text_hash] == bitmaps[k_hash]), "left"
     )
     lines = split_lines(F.col(text_col))
     n = F.size(lines)
-    runs = F.when(F.col("_ld_dropped").isNull(), F.array(n)).otherwise(runs_of(F.col("_ld_dropped"), n))
     out = joined.withColumn(
         "line_dedup",
         F.struct(
             n.cast("long").alias("n_lines"),
-            F.coalesce(F.size("_ld_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-            runs.alias("keep_runs"),
+            F.coalesce(F.col(k_dropped), F.lit(0)).cast("long").alias("n_dropped"),
+            F.coalesce(F.col(k_runs), F.array(n)).alias("keep_runs"),
         ),
     )
-    text = F.when(F.col("_ld_dropped").isNull(), F.col(text_col)).otherwise(
+    text = F.when(F.col(k_runs).isNull(), F.col(text_col)).otherwise(
         F.array_join(apply_runs(lines, F.col("line_dedup.keep_runs")), "\n")
     )
-    return out.withColumn(text_col, text).drop("_ld_id", "_ld_hash", "_ld_text", "_ld_dropped")
+    return out.withColumn(text_col, text).drop(k_id, k_hash, k_dropped, k_runs, text_hash)
 
 
 def line_digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Per row: doc_id, n_lines, n_dropped, kept_sha256."""
+    """Per row: doc_id, n_lines (before dropping), n_dropped, kept_sha256 of the lines that stay.
+
+    A null or empty text is one empty line; repeated rows each get a line,
+    null ids too; other columns are not read; an empty table gives none.
+    """
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return dedup_lines(slim, min_chars, min_docs).select(
         "doc_id",

@@ -18,10 +18,10 @@ from math import ceil, floor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import materialize
+from sparkhist.llm._common import fresh, materialize
 
 #: Rows of one flight.
 BLOCK = 20_000
@@ -248,35 +248,37 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each row of `docs` as often as `plan` takes it.
 
-    Of rows that agree in id, text and source, all share what the group is
-    due; what can't be shared evenly goes to the smallest of them.
+    Rows that agree in id, text and source share what the group is due
+    evenly; of those, the smallest as written out get one more where it
+    doesn't divide.  Columns may have any names and types.
     """
-    keys = ["_mx_id", "_mx_hash", "_mx_source"]
+    keys = fresh(docs, "mix_id", "mix_hash", "mix_source", "mix_times", "mix_rows", "mix_text", "mix_n", "mix_k")
+    k_id, k_hash, k_source, times, n_rows, text, n, k = keys
     due = (
         plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-        .groupBy(F.col("doc_id").alias(keys[0]), F.col("text_hash").alias(keys[1]), F.col("source").alias(keys[2]))
-        .agg(F.sum("times").alias("_mx_times"), F.count("*").alias("_mx_rows"))
-        .where("_mx_times > 0")
+        .groupBy(F.col("doc_id").alias(k_id), F.col("text_hash").alias(k_hash), F.col("source").alias(k_source))
+        .agg(F.sum("times").alias(times), F.count("*").alias(n_rows))
+        .where(F.col(times) > 0)
     )
     due = materialize(due, "due")
-    text_hash = F.xxhash64(F.col(text_col).cast("string"))
+    left = docs.withColumn(text, F.xxhash64(F.col(text_col).cast("string")))
+    met = left.join(
+        due,
+        left[id_col].eqNullSafe(due[k_id])
+        & (left[text] == due[k_hash])
+        & left[source_col].cast("string").eqNullSafe(due[k_source]),
+    )
+    each = F.expr(f"{times} div {n_rows}")
+    odd = F.col(times) % F.col(n_rows) > 0
 
-    def meet(due: DataFrame) -> DataFrame:
-        left = docs.withColumn("_mx_text", text_hash)
-        on = (
-            left[id_col].eqNullSafe(due[keys[0]])
-            & (left["_mx_text"] == due[keys[1]])
-            & left[source_col].cast("string").eqNullSafe(due[keys[2]])
-        )
-        return left.join(due.hint("shuffle_hash"), on).drop("_mx_text")
+    def copies(rows: DataFrame, number) -> DataFrame:
+        rows = rows.withColumn(n, number.cast("int")).where(F.col(n) > 0)
+        return rows.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
-    each = meet(due).withColumn("_mx_n", F.expr("_mx_times div _mx_rows")).where("_mx_n > 0")
-    out = each.withColumn("_mx_k", F.explode(F.sequence(F.lit(1), F.col("_mx_n").cast("int")))).select(*docs.columns)
-    odd = due.where("_mx_times % _mx_rows > 0")
-    if odd.limit(1).count():
-        first = meet(odd).groupBy(*keys, "_mx_times", "_mx_rows").agg(F.min(F.struct(*docs.columns)).alias("_mx_row"))
-        first = first.withColumn(
-            "_mx_k", F.explode(F.sequence(F.lit(1), F.expr("_mx_times % _mx_rows").cast("int")))
-        )
-        out = out.unionByName(first.select("_mx_row.*"))
+    out = copies(met.where(~odd), each)
+    if due.where(odd).limit(1).count():
+        by = Window.partitionBy(k_id, k_hash, k_source).orderBy(F.struct(*docs.columns).cast("string"))
+        ranked = met.where(odd).withColumn(k, F.row_number().over(by))
+        more = (F.col(k) <= F.col(times) % F.col(n_rows)).cast("int")
+        out = out.unionByName(copies(ranked, each + more))
     return out

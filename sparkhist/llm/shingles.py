@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkhist.llm._common import connected_components, materialize, split_join
-from sparkhist.llm.simhash import keep_components
 
 #: Buckets of every text, and least hashes that must agree in one of them.
 BANDS, ROWS = 40, 6
@@ -54,73 +53,50 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _arrays(texts: DataFrame, make, name: str) -> DataFrame:
-    """(fp, `name`): what `make` returns for the text of every row, as signed 64-bit integers."""
+    """(text_hash, `name`): what `make` returns for the text of every row, as signed 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = pa.array([make(t.as_py()).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("fp"), out], names=["fp", name])
+            yield pa.RecordBatch.from_arrays([b.column("text_hash"), out], names=["text_hash", name])
 
-    return texts.select("fp", "text").mapInArrow(run, f"fp long, {name} array<long>")
+    return texts.select("text_hash", "text").mapInArrow(run, f"text_hash long, {name} array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least that Jaccard similarity."""
     pairs = materialize(pairs, "pairs")
-    weight = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "fp")
-    left = materialize(sets.join(weight, "fp").select(F.col("fp").alias("a"), F.col("hashes").alias("x"), "n"), "left")
-    both = split_join(pairs, left, ["a"], "n").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
+    weight = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "text_hash")
+    left = materialize(sets.join(weight, "text_hash").select(F.col("text_hash").alias("a"), F.col("hashes").alias("x"), "n"), "left")
+    both = split_join(pairs, left, ["a"], "n").join(sets.select(F.col("text_hash").alias("b"), F.col("hashes").alias("y")), "b")
     common = both.select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("c"))
     return materialize(common.where(F.col("c") >= similarity * (F.col("sum") - F.col("c")) - 1e-9).select("a", "b"), "near")
 
 
 def link(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of `texts` (fp, text) that are similar and share a bucket."""
+    """Edges (a, b) whose components are those of all pairs of `texts` (text_hash, text) that are similar and share a bucket.
+
+    Equal texts are one node.  A text of fewer words than a shingle is one
+    shingle; blank texts link with nothing.
+    """
     keys = _arrays(texts, lambda t: band_keys(shingle_set(t, shingle)), "keys")
-    keyed = materialize(keys.select("fp", F.explode("keys").alias("k")), "bands")
-    heads = keyed.groupBy("k").agg(F.min("fp").alias("head"), F.max("fp").alias("last"), F.count("*").alias("n"))
+    keyed = materialize(keys.select("text_hash", F.explode("keys").alias("k")), "bands")
+    heads = keyed.groupBy("k").agg(F.min("text_hash").alias("head"), F.max("text_hash").alias("last"), F.count("*").alias("n"))
     heads = materialize(heads.where("head < last").drop("last"), "heads")
-    met = materialize(split_join(keyed, heads, ["k"], "n").select("k", "fp", "head").distinct(), "met")
-    wanted = materialize(met.select("fp").distinct(), "wanted")
-    one = texts.dropDuplicates(["fp"]).join(wanted, "fp", "left_semi")
+    met = materialize(split_join(keyed, heads, ["k"], "n").select("k", "text_hash", "head").distinct(), "met")
+    wanted = materialize(met.select("text_hash").distinct(), "wanted")
+    one = texts.dropDuplicates(["text_hash"]).join(wanted, "text_hash", "left_semi")
     sets = materialize(_arrays(one, lambda t: shingle_set(t, shingle), "hashes"), "sets")
-    star = met.where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
+    star = met.where("text_hash <> head").select(F.col("head").alias("a"), F.col("text_hash").alias("b")).distinct()
     near = _similar(star, sets, similarity)
-    placed = connected_components(near).withColumnRenamed("node", "fp")
-    apart = met.join(placed, "fp", "left").select("k", "fp", F.coalesce("component", "fp").alias("c"))
+    placed = connected_components(near).withColumnRenamed("node", "text_hash")
+    apart = met.join(placed, "text_hash", "left").select("k", "text_hash", F.coalesce("component", "text_hash").alias("c"))
     apart = materialize(apart, "apart")
     mixed = apart.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
     apart = materialize(apart.join(mixed, "k", "left_semi"), "mixed")
     others = apart.select("k", F.col("c").alias("c2")).distinct()
     cross = apart.join(others, "k").where("c < c2").join(
-        apart.select("k", F.col("c").alias("c2"), F.col("fp").alias("fp2")), ["k", "c2"]
+        apart.select("k", F.col("c").alias("c2"), F.col("text_hash").alias("text_hash2")), ["k", "c2"]
     )
-    cross = cross.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
+    cross = cross.select(F.least("text_hash", "text_hash2").alias("a"), F.greatest("text_hash", "text_hash2").alias("b")).distinct()
     return near.unionByName(_similar(cross.join(star, ["a", "b"], "left_anti"), sets, similarity))
-
-
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """Per row: doc_id, component_id, the smallest id reachable by pairs of at least that Jaccard similarity.
-
-    Null counts as empty; blank texts are like equal ones only.  Repeated rows
-    each get a line.  A null id is never a component's id unless the component
-    has no other.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
-    rows = materialize(src.select("doc_id", "fp"), "rows")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
-    found = connected_components(link(src, shingle, similarity)).withColumnRenamed("node", "fp")
-    joined = materialize(classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "joined")
-    least = joined.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
-    ids = split_join(joined, materialize(least, "least"), ["component"], "m").select("fp", "n", "component_id")
-    return split_join(rows, materialize(ids, "component"), ["fp"], "n").select("doc_id", "component_id")
-
-
-def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """`docs` with one row of each near-duplicate group, as `simhash.keep_first`."""
-    return keep_components(docs, near_duplicates(docs, id_col, text_col, shingle, similarity), id_col)

@@ -11,16 +11,16 @@ holders to the smallest of them joins all that belong together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import connected_components, materialize, split_join
+from sparkhist.llm._common import connected_components, fresh, materialize, split_join
 
 #: Blocks of the 64 bits, of which all but two must agree.
 BLOCKS = (13, 13, 13, 13, 12)
@@ -50,16 +50,20 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed 64-bit integer."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, text_hash, fp): hash of the text and its fingerprint, of every row, as signed 64-bit integers."""
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))],
+                names=["doc_id", "text_hash", "fp"],
+            )
 
-    return src.mapInArrow(run, f"doc_id {kind}, fp long")
+    return src.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def _masks() -> list[int]:
@@ -104,24 +108,38 @@ def link(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.select("a", "b").unionByName(crowded).distinct()
 
 
+def groups(rows: DataFrame, crowd: int = CROWD, more: DataFrame | None = None) -> DataFrame:
+    """(fp, n, component, size) of every fingerprint in `rows` (fp).
+
+    n rows have the fingerprint and `size` rows its component, which is named
+    by one of its fingerprints.  `more` holds further links between
+    fingerprints, (a, b).
+    """
+    classes = materialize(rows.groupBy("fp").agg(F.count("*").alias("n")), "classes")
+    edges = link(classes.select("fp"), crowd)
+    edges = edges if more is None else edges.unionByName(more.where("a <> b").select("a", "b"))
+    found = materialize(connected_components(edges).select(F.col("node").alias("fp"), "component"), "groups")
+    placed = materialize(
+        classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "placed"
+    )
+    sizes = placed.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    return materialize(split_join(placed, materialize(sizes, "sizes"), ["component"], "m").drop("m"), "placed")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """Per row: doc_id, fp (signed), component_id, the smallest id reachable by links.
 
     Null and blank texts have fingerprint 0.  Repeated rows each get a line.
     A null id is never a component's id unless the component has no other.
+    Other columns are not read; an empty table gives no line.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
-    found = materialize(
-        connected_components(link(classes.select("fp"), crowd)).select(F.col("node").alias("fp"), "component"), "groups"
-    )
-    joined = classes.join(found, "fp")
+    rows = materialize(fingerprints(docs, id_col, text_col).drop("text_hash"), "fingerprints")
+    placed = groups(rows, crowd)
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    joined = materialize(placed.join(first, "fp"), "firsts")
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
-    linked = split_join(joined, materialize(least, "least"), ["component"], "m").select("fp", "n", "component_id")
-    alone = classes.join(found.select("fp"), "fp", "left_anti").select("fp", "n", F.col("first").alias("component_id"))
-    # Classes of one row that links with nothing need no join at scale, but stay in it for one simple plan.
-    ids = materialize(linked.unionByName(alone), "component")
-    return split_join(rows, ids, ["fp"], "n").select("doc_id", "fp", "component_id")
+    ids = split_join(joined, materialize(least, "least"), ["component"], "m").select("fp", "n", "component_id")
+    return split_join(rows, materialize(ids, "component"), ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -131,31 +149,49 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each near-duplicate group: that whose id is the component's.
-
-    Where several rows have that id, one is kept, the smallest as a tuple.  A
-    group without any id keeps its rows, which can't be told apart by id.
+def keep_first(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    crowd: int = CROWD,
+    also: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """`docs` with exactly one row of each near-duplicate group: that of the smallest id, ids before null.
+
+    Of several texts with that id the one with the smallest hash stays, of
+    several rows with that text the smallest as written out.  So a repeated
+    or missing id loses no group, and a group whose rows all lack an id keeps
+    one row.  Columns may have any names and types; an empty table stays
+    empty.  `also` gets (text_hash, text) and returns further links between
+    text hashes, (a, b); see `shingles.link`.
     """
-    return keep_components(docs, near_duplicates(docs, id_col, text_col), id_col)
-
-
-def keep_components(docs: DataFrame, seen: DataFrame, id_col: str) -> DataFrame:
-    """`keep_first` by the groups in `seen`: doc_id and component_id of every row of `docs`."""
-    out = seen.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    drop = out.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_sd_id")).distinct()
-    keepers = seen.where(F.col("doc_id") == F.col("component_id"))
-    twice = materialize(
-        keepers.groupBy(F.col("doc_id").alias("_sd_id")).agg(F.count("*").alias("n")).where("n > 1").select("_sd_id"),
-        "twice",
+    rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    units = materialize(rows.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("copies")), "units")
+    more = None
+    if also is not None:
+        text = F.col(text_col).cast("string")
+        near = also(docs.select(F.xxhash64(text).alias("text_hash"), F.coalesce(text, F.lit("")).alias("text")))
+        fp_of = materialize(units.select("text_hash", "fp").distinct(), "texts")
+        for end in ("a", "b"):
+            near = near.join(fp_of.select(F.col("text_hash").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+        more = materialize(near.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "more")
+    placed = groups(rows.select("fp"), crowd, more)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies")
+    best = units.groupBy("fp").agg(F.min(order).alias("best"))
+    keepers = placed.join(best, "fp").groupBy("component").agg(F.min("best").alias("best"))
+    key, text_key, copies, nth = fresh(docs, "keep_id", "keep_hash", "keep_copies", "keep_nth")
+    keepers = materialize(
+        keepers.select(
+            F.col("best.doc_id").alias(key), F.col("best.text_hash").alias(text_key), F.col("best.copies").alias(copies)
+        ),
+        "keepers",
     )
-    has_id = materialize(seen.where(F.col("component_id").isNotNull() & F.col("doc_id").isNull()).limit(1), "noid")
-    kept = docs.join(drop.hint("shuffle_hash"), docs[id_col] == F.col("_sd_id"), "left_anti")
-    if has_id.count():
-        kept = kept.where(F.col(id_col).isNotNull())
-    if twice.limit(1).count():
-        once = kept.join(twice, kept[id_col] == twice["_sd_id"], "left_anti")
-        more = kept.join(twice, kept[id_col] == twice["_sd_id"], "left_semi")
-        least = more.groupBy(F.col(id_col).alias("_sd_id")).agg(F.min(F.struct(*docs.columns)).alias("_sd_row"))
-        kept = once.unionByName(least.select("_sd_row.*"))
+    (hashed,) = fresh(docs, "row_hash")
+    left = docs.withColumn(hashed, F.xxhash64(F.col(text_col).cast("string")))
+    met = left.join(keepers, left[id_col].eqNullSafe(keepers[key]) & (left[hashed] == keepers[text_key]))
+    kept = met.where(F.col(copies) == 1).select(*docs.columns)
+    if keepers.where(F.col(copies) > 1).limit(1).count():
+        by = Window.partitionBy(key, text_key).orderBy(F.struct(*docs.columns).cast("string"))
+        again = met.where(F.col(copies) > 1).withColumn(nth, F.row_number().over(by)).where(F.col(nth) == 1)
+        kept = kept.unionByName(again.select(*docs.columns))
     return kept

@@ -7,7 +7,8 @@ import sys
 from collections import Counter
 
 import corpus_pipeline
-from weird import documents
+from test_shingles import near, sets
+from weird import documents, keepers
 
 from sparkhist.llm import mixing, simhash, tokens, toxicity
 
@@ -32,10 +33,10 @@ def test_stages(spark, tmp_path):
             assert sum(len(r.text) for r in after.collect()) < sum(len(r.text) for r in state.collect())
             assert all(r.n_chars == len(r.text) for r in after.collect())
         if name == "simhash_near_dedup":
-            fps = {r.doc_id: simhash.fingerprint(r.text) for r in state.collect()}
-            kept = {r.doc_id for r in after.collect()}
-            for i, f in fps.items():  # each row is kept, or reachable from one that is
-                assert i in kept or any(bin(f ^ fps[j]).count("1") <= 2 for j in fps if j != i)
+            rows = [(r.doc_id, r.text) for r in state.collect()]
+            s, fps = [sets(t) for _, t in rows], [simhash.fingerprint(t) for _, t in rows]
+            linked = [(i, j) for i in range(len(rows)) for j in range(i) if near(s, fps, i, j)]
+            assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, _ in keepers(rows, linked))
         if name == "mixing":
             want = Counter({r.doc_id: r.times for r in mixing.plan(state).collect()})
             assert Counter(r.doc_id for r in after.collect()) == +want

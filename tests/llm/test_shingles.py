@@ -1,9 +1,9 @@
 import random
 
 import corpus_pipeline
-from weird import components, documents, lower, texts
+from weird import documents, keepers, lower, texts
 
-from sparkhist.llm import shingles
+from sparkhist.llm import shingles, simhash
 
 
 def sets(text):
@@ -11,20 +11,6 @@ def sets(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def groups(rows):
-    """component_id of each row, by brute force."""
-    s = [sets(t) for _, t in rows]
-    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b) and a
-    same = lambda i, j: (rows[i][1] or "") == (rows[j][1] or "")
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if same(i, j) or near(s[i], s[j])]
-    comp = components(range(len(rows)), links)
-    least = {}
-    for k, (i, _) in enumerate(rows):
-        if i is not None:
-            least[comp[k]] = min(least.get(comp[k], i), i)
-    return [least.get(comp[k]) for k in range(len(rows))]
-
-
 def edited(seed=0):
     """Texts and copies with words replaced: clusters, chains and pairs on both sides of 0.8."""
     rng = random.Random(seed)
@@ -40,20 +26,35 @@ def edited(seed=0):
     return rows
 
 
-def test_brute_force(spark):
+def near(s, fps, i, j):
+    a, b = s[i], s[j]
+    if (fps[i] ^ fps[j]).bit_count() <= 2:
+        return True
+    return bool(a) and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and (5 * len(a & b) >= 4 * len(a | b))
+
+
+def test_near_copies_stage_brute_force(spark, sf):
+    """The stage keeps exactly one row of each group of either link, whatever ids and columns there are."""
     rows = edited() + [(10_000 + i if i is not None else None, t) for i, t in texts()]
-    got = shingles.near_duplicates(documents(spark, rows)).collect()
-    want = sorted((str(i), str(c)) for (i, _), c in zip(rows, groups(rows)))
-    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == want
-    assert shingles.near_duplicates(documents(spark, [])).count() == 0
-
-
-def test_stage_drops_similar_texts(spark, sf):
-    """0.8 or more in five-word shingles is dropped, which two bits of a fingerprint miss."""
-    rows = edited(1)
-    docs = documents(spark, rows)
-    for name, stage in corpus_pipeline.STAGES:
-        if name.endswith("near_dedup"):
-            docs = stage(spark, docs, sf)
-    kept = {r.doc_id: sets(r.text) for r in docs.collect()}
-    assert kept and all(5 * len(a & b) < 4 * len(a | b) for i, a in kept.items() for j, b in kept.items() if i < j)
+    rows += [(500, rows[3][1]), (500, "alpha beta gamma delta"), (500, "one two three four five"), (490, "one two three four five")]
+    rows += [(None, "without any id here"), (None, "without any id here"), (None, rows[40][1])]
+    s, fps = [sets(t) for _, t in rows], [simhash.fingerprint(t) for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if near(s, fps, i, j)]
+    got = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), sf).collect()
+    want = keepers(rows, linked)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in want)
+    left = {}
+    for i, t in want:
+        left.setdefault(i, []).append(t)
+    for r in got:  # each kept row is one of its group's candidates, each group once
+        mine = next(t for t in left[r.doc_id] if r.text in t)
+        left[r.doc_id].remove(mine)
+    assert not any(left.values())
+
+
+def test_links_are_exact(spark):
+    rows = [(i, t) for i, t in edited(1)]
+    df = spark.createDataFrame(rows, "text_hash long, text string")
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in shingles.link(df).collect()}
+    s = [sets(t) for _, t in rows]
+    assert found and all(5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b]) for a, b in found)
