@@ -1,4 +1,4 @@
-"""A training corpus from raw documents, in six stages.
+"""A training corpus from raw documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor
 kept and returns a DataFrame, which is written as Parquet and read again as
@@ -31,13 +31,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group whose fingerprints differ in two bits at most, that of the smallest id."""
-    return simhash.keep_first(docs)
+    """One row of each group of near copies, that of the smallest id.
 
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of Jaccard similarity 0.8 or more in five-word shingles, that of the smallest id."""
-    return shingles.keep_first(docs)
+    Rows link when their fingerprints differ in two bits at most, or when
+    their texts have a Jaccard similarity of 0.8 or more in five-word shingles.
+    """
+    return simhash.keep_first(docs, also=shingles.link)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +53,6 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_lines),
     ("simhash_near_dedup", drop_near_copies),
-    ("shingle_near_dedup", drop_similar),
     ("mixing", mix_sources),
     ("packing", pack),
 ]
