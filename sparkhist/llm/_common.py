@@ -109,6 +109,12 @@ def split_join(big: DataFrame, keyed: DataFrame, keys: list[str], weight: str, h
     return one.unionByName(two).drop("_hot")
 
 
+def one_text_each(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """One row per `key`, the one whose text has the smallest hash; rows of a hot key combine before they are shuffled."""
+    row = F.struct(*[c for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.min_by(row, F.xxhash64(text)).alias("_row")).select(key, "_row.*")
+
+
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo `modulus`; null for a null id."""
     c = F.col(column) if isinstance(column, str) else column
@@ -205,6 +211,25 @@ def matrix(column, dtype="float64"):
     return np.asarray(flat, dtype).reshape(len(c), -1) if len(c) else np.zeros((0, 0))
 
 
+def good_vectors(column):
+    """For each list of an Arrow column: True if it isn't null, empty or zero and holds finite numbers only."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)  # null components become NaN
+    ends = np.cumsum(sizes)
+    upto = lambda v: np.concatenate([[0], np.cumsum(v)])
+    bad, full = upto(~np.isfinite(flat)), upto(flat != 0)
+    return (bad[ends] == bad[ends - sizes]) & (full[ends] > full[ends - sizes])
+
+
+def vector_column(df: DataFrame, name: str) -> Column:
+    """The column as arrays of floats if it holds such, else of doubles."""
+    kind = df.select(name).schema[0].dataType.simpleString()
+    return F.col(name) if kind == "array<float>" else F.col(name).cast("array<double>")
+
+
 def usable_vector(column: Column) -> Column:
     """True for vectors that are not null, zero or empty and hold finite numbers only."""
     c = column.cast("array<double>")

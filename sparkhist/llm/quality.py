@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import crc_mod, materialize
+from sparkhist.llm._common import crc_mod, materialize, one_text_each
 
 #: Rated rows to learn from, at most.
 SAMPLE = 6_000
@@ -128,15 +128,17 @@ def fit(
     """Learn from at most `sample` rated rows whose crc32(id as text) mod 4 isn't 2.
 
     `grade` is a column over `ratings` from 0 to grades - 1.  Rows without
-    grade or id teach nothing; without any row all grades are even.
+    grade or id teach nothing; without any row all grades are even.  An id
+    with several grades has the lowest of them, one of several texts is used.
     """
     ids = (
         ratings.select(F.col(id_col).alias("_q_id"), grade.cast("int").alias("y"))
         .where(F.col("y").isNotNull() & F.col("_q_id").isNotNull() & (crc_mod("_q_id", 4) != 2))
-        .orderBy(F.xxhash64("_q_id"), "_q_id").limit(sample).dropDuplicates(["_q_id"])
+        .groupBy("_q_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("_q_id"), "_q_id").limit(sample)
     )
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = src.join(F.broadcast(materialize(ids, "rated")), F.col("doc_id") == F.col("_q_id")).select("text", "y")
+    rows = src.join(F.broadcast(materialize(ids, "rated")), F.col("doc_id") == F.col("_q_id"))
+    rows = one_text_each(rows.select("doc_id", "text", "y"), "doc_id").select("text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +166,8 @@ def fit(
 def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", tail: int = 1) -> DataFrame:
     """Per row: doc_id, held_out, expected_grade, tail_probability (of `tail` or more), kept.
 
-    A null text counts as empty; a null id isn't held out.
+    A null text counts as empty; a null id isn't held out; repeated rows each
+    get a line; other columns are not read; an empty table gives no line.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()

@@ -20,12 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import crc_mod, materialize
+from sparkhist.llm._common import crc_mod, materialize, one_text_each
 
 #: Labelled rows to learn from, at most; the smallest by hash of their id.
 SAMPLE = 12_000
-#: Words and beginnings that are mined, at most.
-MINED = 20_000
 #: Least documents and likelihood ratio of a mined term.
 LEAST_DOCS, LEAST_RATIO = 3, 12.0
 #: From this score on a document counts as toxic.
@@ -183,11 +181,12 @@ class Trees:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the monotone fit of y on x by pooling adjacent violators."""
-    order = np.argsort(x, kind="stable")
+    """Knots of the monotone fit of y on x: equal x are averaged, then adjacent violators pooled."""
+    at, inverse, n = np.unique(x, return_inverse=True, return_counts=True)
+    mean = np.bincount(inverse, y, len(at)) / n
     blocks: list[list[float]] = []  # mean of y, weight, mean of x
-    for a, b in zip(x[order].tolist(), y[order].tolist()):
-        blocks.append([b, 1.0, a])
+    for a, b, weight in zip(at.tolist(), mean.tolist(), n.tolist()):
+        blocks.append([b, float(weight), a])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v, w, u = blocks.pop()
             blocks[-1] = [
@@ -217,16 +216,21 @@ class Model:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """(doc_id, text, y, fold) of at most `sample` labelled rows outside the held-out quarter."""
+    """(text, y, fold) of at most `sample` labelled rows outside the held-out quarter.
+
+    An id with several labels counts as toxic if one of them says so; of its
+    several texts one is learned from.
+    """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 4) != 2))
-        .select(F.col(id_col).alias("_tx_id"), (F.col(label) > 0).cast("int").alias("y"))
-        .orderBy(F.xxhash64("_tx_id"), "_tx_id").limit(sample).dropDuplicates(["_tx_id"])
+        .groupBy(F.col(id_col).alias("_tx_id")).agg((F.max(label) > 0).cast("int").alias("y"))
+        .orderBy(F.xxhash64("_tx_id"), "_tx_id").limit(sample)
     )
     ids = materialize(ids, "sampled")
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fold = (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 4) % 2).cast("int")
-    return src.join(F.broadcast(ids), src["doc_id"] == ids["_tx_id"]).select("text", "y", fold.alias("fold"))
+    rows = src.join(F.broadcast(ids), src["doc_id"] == ids["_tx_id"])
+    return one_text_each(rows.select("doc_id", "text", "y"), "doc_id").select("text", "y", fold.alias("fold"))
 
 
 def _accepted(folds: tuple[int, ...], size: dict[tuple[int, int], int]) -> Column:
@@ -263,12 +267,11 @@ def _mine(rows: DataFrame, size: dict[tuple[int, int], int]) -> list[tuple[str,
 
     by = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)]
     found = rows.mapInArrow(run, "term string, k int, n long").groupBy("term").agg(*by)
-    toxic, clean = F.col("n1") + F.col("n3"), F.col("n0") + F.col("n2")
+    toxic = F.col("n1") + F.col("n3")
     taken = _accepted((0,), size) | _accepted((1,), size) | _accepted((0, 1), size)
-    found = found.where((toxic >= LEAST_DOCS) & taken).orderBy(
-        (toxic * F.log((toxic + 0.5) / (clean + 0.5))).desc(), "term"
-    )
-    return [(r.term, [r.n0, r.n1, r.n2, r.n3]) for r in found.limit(MINED).collect()]
+    # How many there can be is bounded by the sample, as each takes LEAST_DOCS toxic documents.
+    found = found.where((toxic >= LEAST_DOCS) & taken).orderBy("term")
+    return [(r.term, [r.n0, r.n1, r.n2, r.n3]) for r in found.collect()]
 
 
 def _lexicon(found: list[tuple[str, list[int]]], folds: tuple[int, ...], size: dict[tuple[int, int], int]) -> Lexicon:
@@ -331,7 +334,11 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted.  A null text counts as empty; a null id isn't held out."""
+    """Per row: doc_id, held_out, score, predicted.
+
+    A null text counts as empty; a null id isn't held out; repeated rows each
+    get a line; other columns are not read; an empty table gives no line.
+    """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
@@ -351,7 +358,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that score below `threshold`, in one pass without a join."""
+    """The rows of `docs` that score below `threshold`, in one pass without a join.
+
+    All columns stay, whatever their names; a null text counts as empty;
+    repeated rows go or stay together; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

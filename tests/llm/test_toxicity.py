@@ -44,6 +44,10 @@ def test_features():
 def test_isotonic_and_trees():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert x.tolist() == [1, 2.5, 4] and y.tolist() == [0, 0.5, 1]
+    x, y = toxicity.isotonic(np.zeros(4), np.array([0.0, 1, 1, 1]))  # equal scores have one mean
+    assert x.tolist() == [0] and y.tolist() == [0.75]
+    x, y = toxicity.isotonic(np.array([0.0, 1, 1, 2, 2, 2]), np.array([1.0, 0, 1, 1, 0, 0]))
+    assert np.allclose(np.interp([0, 1, 2], x, y), [0.5, 0.5, 0.5])
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
@@ -51,8 +55,8 @@ def test_isotonic_and_trees():
     assert ((raw > 0) == (y[1500:] > 0)).mean() > 0.95
 
 
-def test_limit_of_terms_spares_accepted_ones(spark, monkeypatch):
-    """A term that is toxic by rate only is not crowded out by terms that no lexicon takes."""
+def test_mining_keeps_accepted_terms_only(spark):
+    """A term that is toxic by rate is found beside many others, and what no lexicon takes isn't returned."""
     rows = [("blarg" if i % 2 else "weak", 1, i % 4 // 2) for i in range(80)]
     rows += [("blarg", 0, i % 2) for i in range(60)] + [("plain", 0, i % 2) for i in range(2000)]
     rows += [(f"rare{chr(97 + i)}", 1, f) for i in range(5) for f in (0, 0, 1)]
@@ -60,7 +64,5 @@ def test_limit_of_terms_spares_accepted_ones(spark, monkeypatch):
     found = lambda: toxicity._mine(spark.createDataFrame(rows, "text string, y int, fold int"), size)
     whole = toxicity._lexicon(found(), (0, 1), size)
     assert "blarg" in whole.words and "plain" not in whole.words
-    monkeypatch.setattr(toxicity, "MINED", len(found()))
-    assert toxicity._lexicon(found(), (0, 1), size) == whole
     assert all(any(t in x.words or t[1:] in x.roots.get(int(t[0]) if t[0].isdigit() else 0, ()) for x in
                    (toxicity._lexicon(found(), f, size) for f in ((0,), (1,), (0, 1)))) for t, _ in found())
