@@ -9,8 +9,9 @@ last token of the prefix before it, and
 
 `PrefixCounter` runs this dynamic program over each distinct pre-token once
 and keeps the table.  The counts at all prefixes of a text follow by adding
-those of its pre-tokens, so truncation and budget questions are answered by
-looking up an array, without encoding again.
+those of its pre-tokens and are stored as compressed differences, so
+truncation and budget questions are answered by looking up an array, without
+encoding again.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -121,7 +123,7 @@ class PrefixCounter:
         self.begins = {t[:i] for t in self.ranks for i in range(1, len(t) + 1)}
         self.split = regex.compile(PATTERN)
         self.tables: dict[str, list[int] | bytes] = {}
-        self.words: dict[str, int] = {}
+        self.words: dict[str, bytes | None] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def _valid(self, a: bytes, b: bytes) -> bool:
@@ -162,26 +164,30 @@ class PrefixCounter:
         out = self.tables[piece] = bytes(count[1:])
         return out
 
-    def _word(self, word: str) -> int:
-        """Tokens of what stands between two single spaces, kept by its text."""
-        n = self.words.get(word)
-        if n is None:
-            n = self._pieces(word)
+    def _word(self, word: str) -> bytes | None:
+        """`steps` of what stands between two single spaces as signed bytes, kept by its text; None if one doesn't fit."""
+        known = self.words.get(word, False)
+        if known is False:
+            step = np.diff(self.prefix_counts(word))
+            known = step.astype(np.int8).tobytes() if (np.abs(step) < 128).all() else None
             if len(word) <= LONGEST_KEY:
                 if len(self.words) >= CACHE:
                     self.words.clear()
-                self.words[word] = n
-        return n
-
-    def _pieces(self, text: str) -> int:
-        return sum(self.table(p)[-1] for p in self.split.findall(text))
-
-    def _ordinary(self, text: str) -> int:
-        if self.enc.runs.search(text) or text[:1].isspace() or text[-1:].isspace():
-            return self._pieces(text)
-        # A single space between other characters starts a pre-token, so words count apart.
-        first, *rest = text.split(" ")
-        return self._word(first) + sum(map(self._word, map(" ".__add__, rest)))
+                self.words[word] = known
+        return known
+
+    def steps(self, text: str) -> np.ndarray:
+        """Differences of `prefix_counts`, one for each byte; their sum is the count of the whole text."""
+        if not (
+            self.enc.runs.search(text) or text[:1].isspace() or text[-1:].isspace()
+            or any(s in text for s in self.enc.special)
+        ):
+            # A single space between other characters starts a pre-token, so words count apart.
+            first, *rest = text.split(" ")
+            words = [self._word(first), *map(self._word, map(" ".__add__, rest))]
+            if None not in words:
+                return np.frombuffer(b"".join(words), np.int8)
+        return np.diff(self.prefix_counts(text))
 
     def _parts(self, text: str) -> list[str]:
         """The text cut around special strings, those included."""
@@ -192,7 +198,7 @@ class PrefixCounter:
 
     def count(self, text: str) -> int:
         """Tokens of a whole text: the last entry of `prefix_counts`."""
-        return sum(1 if p in self.enc.special else self._ordinary(p) for p in self._parts(text))
+        return int(self.steps(text).sum(dtype=np.int64))
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """counts[p]: tokens of the first p bytes; p = 0 .. n_bytes.
@@ -202,17 +208,21 @@ class PrefixCounter:
         """
         out: list[int] = [0]
         base = 0
-        so_far = ""
+        tail: list[str] = []  # the last pieces since a special string
         for part in self._parts(text):
             if part in self.enc.special:
+                # Until it is complete its beginning is ordinary text, which changes the last piece at most.
+                start = base - sum(self.table(x)[-1] for x in tail)
                 for i in range(1, len(part)):
-                    out.append(len(self.enc.ids_bytes(so_far + part[:i])) // 4)
+                    out.append(start + sum(self.table(x)[-1] for x in self.split.findall("".join(tail) + part[:i])))
                 base += 1
                 out.append(base)
-                so_far += part
+                tail = []
                 continue
             before = ""
-            for piece in self.split.findall(part):
+            pieces = self.split.findall(part)
+            tail = pieces[-2:]
+            for piece in pieces:
                 counts = self.table(piece)
                 at = [base + c for c in counts]
                 head = len(piece[0].encode())
@@ -228,7 +238,6 @@ class PrefixCounter:
                 out.extend(at)
                 base += counts[-1]
                 before = piece
-            so_far += part
         return np.asarray(out, np.int64)
 
 
@@ -247,20 +256,35 @@ def longest_within(counts: np.ndarray, budget: int) -> int:
     return int(np.flatnonzero(counts <= budget)[-1])
 
 
+def pack_prefixes(steps: np.ndarray) -> bytes:
+    """Compressed prefix counts: the width of a difference in bytes, then all differences by zlib."""
+    width = 1 if steps.dtype == np.int8 or (np.abs(steps) < 128).all() else 4
+    return bytes([width]) + zlib.compress(steps.astype(f"<i{width}").tobytes(), 1)
+
+
+def read_prefixes(blob: bytes) -> np.ndarray:
+    """The counts at the byte prefixes 0 .. n_bytes in a ``prefix_counts`` value; see `longest_within`."""
+    steps = np.frombuffer(zlib.decompress(blob[1:]), f"<i{blob[0]}")
+    return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+
+
 def token_counts(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     limit: int = 1024,
     path: str | None = None,
-    with_prefixes: bool = False,
+    with_prefixes: bool = True,
 ) -> DataFrame:
-    """Per row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
-
-    The count of a text is that at its last prefix.  ``with_prefixes`` adds
-    ``prefix_counts``, the count at every byte prefix as little-endian int32
-    compressed by zlib; see `read_prefixes`.  Nothing is shuffled.  A null text counts as empty (0 tokens); repeated rows each
-    get a row; a null id stays null; other columns are not read.
+    """Per row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens), prefix_counts.
+
+    ``prefix_counts`` holds the exact count at every byte prefix, compressed;
+    `read_prefixes` and `longest_within` answer truncation and budget
+    questions from it without encoding again.  The count of a text is that at
+    its last prefix.  Without ``with_prefixes`` the column is left out.
+    Nothing is shuffled.  A null text counts as empty (0 tokens); repeated
+    rows each get a row; a null id stays null; other columns are not read; an
+    empty table gives no row.
     """
     path = path or default_path()
     cols = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
@@ -270,29 +294,23 @@ def token_counts(
     schema += ", prefix_counts binary" if with_prefixes else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         c = prefix_counter(path)
-        for b in batches:
-            texts = [t.as_py() or "" for t in b.column("text")]
-            n = [c.count(t) for t in texts]
-            cols = [
-                b.column("doc_id"),
-                pa.array([len(t.encode()) for t in texts], pa.int64()),
-                pa.array(n, pa.int64()),
-                pa.array([x > limit for x in n], pa.bool_()),
-            ]
-            names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
-            if with_prefixes:
-                cols.append(pa.array([zlib.compress(c.prefix_counts(t).astype("<i4").tobytes()) for t in texts], pa.binary()))
-                names.append("prefix_counts")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                size, n, blobs = [], [], []
+                for t in b.column("text"):
+                    steps = c.steps(t.as_py() or "")
+                    size.append(len(steps))
+                    n.append(int(steps.sum(dtype=np.int64)))
+                    if with_prefixes:
+                        blobs.append(pack_prefixes(steps))
+                over = pa.array([x > limit for x in n], pa.bool_())
+                cols = [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), over]
+                names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+                if with_prefixes:
+                    cols.append(pa.array(blobs, pa.binary()))
+                    names.append("prefix_counts")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return src.mapInArrow(run, schema)
-
-
-def read_prefixes(blob: bytes) -> np.ndarray:
-    """The array in a ``prefix_counts`` value."""
-    import zlib
-
-    return np.frombuffer(zlib.decompress(blob), "<i4").astype(np.int64)
