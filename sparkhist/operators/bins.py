@@ -11,21 +11,26 @@ from pyspark.sql import functions as F
 from sparkhist.plans.layouts import Layout
 
 
-def bounds_column(layout: Layout, index: Column) -> Column:
-    """struct(lower, upper) of the layout's bin; found once for each distinct bin of a batch."""
+def bounds_columns(layout: Layout, index: str) -> tuple[Column, Column]:
+    """Lower and upper bound of the layout's bin: expressions, or for layouts without SQL a function of Arrow batches."""
+    native = layout.bounds_sql(index)
+    if native is not None:
+        return F.expr(native[0]), F.expr(native[1])
 
     @F.pandas_udf("lower double, upper double")
     def bounds(i: pd.Series) -> pd.DataFrame:
         known = {k: (layout.lower_bound(int(k)), layout.upper_bound(int(k))) for k in i.unique()}
         return pd.DataFrame([known[k] for k in i], columns=["lower", "upper"])
 
-    return bounds(index)
+    both = bounds(F.col(index))
+    return both["lower"], both["upper"]
 
 
 def bins_view(hist: DataFrame, layout: Layout, keys: Sequence[str] = ()) -> DataFrame:
     """keys, bin_index, bin_count, less_count, greater_count, bounds, width, flags and the key's totals.
 
-    Windows run over bins, never over values.
+    Windows run over bins, never over values.  A filter on counts is applied
+    before bounds are worked out, so asking for few bins costs little.
     """
     by = Window.partitionBy(*keys)
     up = by.orderBy("bin_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -40,9 +45,8 @@ def bins_view(hist: DataFrame, layout: Layout, keys: Sequence[str] = ()) -> Data
         F.last("bin_max").over(whole).alias("max_value"),
     )
     v = v.withColumn("greater_count", F.col("total_count") - F.col("less_count") - F.col("bin_count"))
-    v = v.withColumn("_b", bounds_column(layout, F.col("bin_index")))
-    v = v.withColumn("lower_bound", F.greatest("min_value", F.col("_b.lower")))
-    v = v.withColumn("upper_bound", F.least("max_value", F.col("_b.upper")))
+    lower, upper = bounds_columns(layout, "bin_index")
+    v = v.withColumns({"lower_bound": F.greatest("min_value", lower), "upper_bound": F.least("max_value", upper)})
     return v.select(
         *keys, "bin_index", "bin_count", "less_count", "greater_count", "lower_bound", "upper_bound",
         F.when(F.col("upper_bound") == F.col("lower_bound"), F.lit(0.0))
@@ -105,14 +109,21 @@ def count_below(hist: DataFrame, value: float, layout: Layout, keys: Sequence[st
 def bin_by_rank(bins: DataFrame, ranks: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """The bin that holds each rank: a filter on cumulative counts, no join.
 
-    A rank below 0 is an error; ranks from total_count on give no row.
+    A rank below 0, or from a key's total_count on, is an error.
     """
     if any(r < 0 for r in ranks):
         raise ValueError("ranks start at 0")
     if not ranks:
         raise ValueError("ranks are missing")
-    r = bins.withColumn("rank", F.explode(F.array(*(F.lit(int(x)).cast("long") for x in ranks))))
-    return r.where((F.col("less_count") <= F.col("rank")) & (F.col("rank") < F.col("less_count") + F.col("bin_count")))
+    high = f"total_count <= {max(ranks)}L"
+    held = F.filter(
+        F.array(*(F.lit(int(x)).cast("long") for x in ranks)),
+        lambda r: (F.col("less_count") <= r) & (r < F.col("less_count") + F.col("bin_count")),
+    )
+    # The first bin answers for a rank that no bin holds.
+    few = bins.where((F.size(held) > 0) | (F.col("is_first") & F.expr(high)))
+    few = few.where(F.expr(f"NOT ({high}) OR raise_error('there are fewer values than a rank asks for') IS NOT NULL"))
+    return few.withColumn("rank", F.explode(held))
 
 
 def describe(bins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -133,9 +144,11 @@ def print_bins(bins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def print_stars(bins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """line: bounds of each bin and a star for every value up to it."""
-    stars = F.repeat(F.lit("*"), (F.col("less_count") + F.col("bin_count")).cast("int"))
+def print_stars(bins: DataFrame, keys: Sequence[str] = (), most: int = 1_000_000) -> DataFrame:
+    """line: bounds of each bin and a star for every value up to it; an error beyond `most` stars."""
+    n = F.col("less_count") + F.col("bin_count")
+    n = F.when(n > most, F.raise_error(F.lit(f"a line of more than {most} stars")).cast("int")).otherwise(n.cast("int"))
     return bins.select(
-        *keys, "bin_index", F.concat(F.format_string("%24.17E - %24.17E : ", "lower_bound", "upper_bound"), stars).alias("line")
+        *keys, "bin_index",
+        F.concat(F.format_string("%24.17E - %24.17E : ", "lower_bound", "upper_bound"), F.repeat(F.lit("*"), n)).alias("line"),
     )

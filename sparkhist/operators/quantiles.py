@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkhist.functions import floatbits as fb
 from sparkhist.functions.estimators import (
     Estimate,
     Estimator,
+    check_positions,
     estimate_col,
     interpolate_sql,
     position_sql,
@@ -37,15 +39,28 @@ def quantiles(
     """keys, p, value: quantiles by plotting positions (alpha, beta), interpolated between two ranks.
 
     No join: each bin answers for the ranks it holds, and one aggregation
-    over bins brings the two ranks of a quantile together.  `position` may
-    replace the plotting positions by a function of (p, total_count).
-    ValueError for p outside [0, 1].
+    over bins brings the two ranks of a quantile together.  Bins that hold
+    none are dropped first, by the straight line that positions follow.
+    `position` may replace the plotting positions by a function of
+    (p, total_count).  p below 0 and above 1 count as 0 and 1; ValueError for
+    NaN.
     """
-    if not all(0 <= p <= 1 for p in ps):
-        raise ValueError("quantiles lie between 0 and 1")
-    z = position(F.col("p"), F.col("total_count")) if position else F.expr(position_sql("p", "total_count", alpha, beta))
-    rows = bins.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps)))).withColumn("_z", z)
-    rows = rows.withColumn("_r", F.expr("explode(array(bigint(floor(_z)), bigint(floor(_z)) + 1))"))
+    if any(p != p for p in ps):
+        raise ValueError("NaN is no quantile")
+    check_positions(alpha, beta)
+    p_array = F.array(*(F.lit(float(p)) for p in ps)).cast("array<double>")
+    clamped = "least(greatest(p, 0D), 1D)"
+    if position:
+        z, rows = position(F.expr(clamped), F.col("total_count")), bins.withColumn("p", F.explode(p_array))
+    else:
+        z = F.expr(position_sql(clamped, "total_count", alpha, beta))
+        # The exact position differs by rounding only, which the slack exceeds.
+        line = f"least(greatest({alpha - 1.0!r}D + {clamped} * (total_count - {float(beta)!r}D - {alpha - 1.0!r}D), 0D), total_count - 1D)"
+        slack = "(1D + 1e-9D * total_count)"
+        near = f"p -> {line} >= less_count - 1D - {slack} AND {line} < less_count + bin_count + {slack}"
+        rows = bins.withColumn("_ps", F.expr(f"filter(array({', '.join(fb.sql(float(p)) for p in ps)}), {near})"))
+        rows = rows.where("size(_ps) > 0").withColumn("p", F.explode("_ps"))
+    rows = rows.withColumn("_z", z).withColumn("_r", F.expr("explode(array(bigint(floor(_z)), bigint(floor(_z)) + 1))"))
     rows = rows.where("less_count <= _r AND _r < less_count + bin_count")
     rows = rows.select(*keys, "p", "_z", "_r", estimate_col(estimator, "_r").alias("_v"))
     found = rows.groupBy(*keys, "p").agg(

@@ -85,6 +85,10 @@ class Layout:
             return fb.INF
         return fb.ordered_to_double(fb.double_to_ordered(self.lower_bound(max(i, self.underflow) + 1)) - 1)
 
+    def bounds_sql(self, i: str) -> tuple[str, str] | None:
+        """SQL for the lower and upper bound of the bin in column `i`, if the layout has such."""
+        return None
+
     @property
     def normal_range(self) -> tuple[float, float]:
         """Bounds of all bins but underflow and overflow."""
@@ -108,7 +112,50 @@ def _python_index(layout: Layout):
     return index
 
 
-class _LogLayout(Layout):
+class _MirroredLayout(Layout):
+    """A layout whose bins below zero mirror those above.
+
+    Subclasses give `seed_sql`.  `zero` is the bin that mirrors bin 0: -1
+    where 0.0 and -0.0 have bins of their own, 0 where they share one.
+    """
+
+    zero = -1
+
+    def seed_sql(self, k: str) -> str:
+        """SQL for a double near the smallest number of bin k > 0, within a millionth of it."""
+        raise NotImplementedError
+
+    def _first_sql(self, k: str) -> str:
+        """SQL for the smallest number u >= 0 whose bin is at least k; exact.
+
+        Bisects from both sides of the seed until no double lies between.
+        """
+        top, tiny = fb.sql(fb.MAX_VALUE), fb.sql(fb.MIN_VALUE)
+        start = (
+            f"named_struct('a', greatest(s * {fb.sql(1 - 2.0**-20)} - {tiny}, 0D), "
+            f"'b', least(s * {fb.sql(1 + 2.0**-20)} + {tiny}, {top}))"
+        )
+        start = f"get(transform(array({self.seed_sql('k')}), s -> {start}), 0)"
+        step = f"IF({self.raw_sql('m')} >= k, named_struct('a', t.a, 'b', m), named_struct('a', m, 'b', t.b))"
+        step = f"get(transform(array(t.a + (t.b - t.a) * 0.5D), m -> {step}), 0)"
+        found = f"aggregate(sequence(1, 36), {start}, (t, j) -> {step}, t -> t.b)"
+        most = fb.sql(float(self.raw_index(fb.MAX_VALUE)))
+        first = f"CASE WHEN k <= 0D THEN 0D WHEN k > {most} THEN double('Infinity') ELSE {found} END"
+        return f"get(transform(array({k}), k -> {first}), 0)"
+
+    def bounds_sql(self, i: str) -> tuple[str, str]:
+        k = f"double(CASE WHEN {i} < 0 THEN {self.zero} - {i} ELSE {i} END)"
+        first = self._first_sql(k)
+        # The double before a positive one; what of the two rounds to the number itself is the larger.
+        last = f"least(u * {fb.sql(1 - 2.0**-53)}, u - {fb.sql(fb.MIN_VALUE)}, {fb.sql(fb.MAX_VALUE)})"
+        last = f"get(transform(array({self._first_sql(k + ' + 1D')}), u -> {last}), 0)"
+        below = f"{i} < {1 + self.zero}"  # bin 0 reaches from -0.0 on where it mirrors itself
+        lower = f"CASE WHEN {i} <= {self.underflow} THEN double('-Infinity') WHEN {below} THEN -({last}) ELSE {first} END"
+        upper = f"CASE WHEN {i} >= {self.overflow} THEN double('Infinity') WHEN {i} < 0 THEN -({first}) ELSE {last} END"
+        return lower, upper
+
+
+class _LogLayout(_MirroredLayout):
     """Bins of constant width near zero and of constant relative width beyond."""
 
     def __init__(self, abs_width: float, rel_width: float, lo: float, hi: float):
@@ -148,6 +195,10 @@ class _LogLayout(Layout):
         """The inverse of `_growth`, near enough to seed a search."""
         raise NotImplementedError
 
+    @staticmethod
+    def _shrink_sql(g: str) -> str:
+        raise NotImplementedError
+
     def _normal_limit(self) -> float:
         n = fb.find_first(
             lambda b: fb.truncated(self.sub * fb.ordered_to_double(b)) >= self.first,
@@ -199,6 +250,13 @@ class _LogLayout(Layout):
         except (OverflowError, ValueError):
             return fb.MAX_VALUE
 
+    def seed_sql(self, k: str) -> str:
+        near = f"least({k} / {fb.sql(self.sub)}, {fb.sql(fb.MAX_VALUE)})"
+        if math.isinf(self.scale):
+            return near
+        far = self._shrink_sql(f"(({k} - {fb.sql(self.offset)}) / {fb.sql(self.scale)})")
+        return f"IF({k} < {fb.sql(float(self.first))}, {near}, {far})"
+
     def _key(self) -> tuple:
         return self.abs_width, self.rel_width, self.underflow, self.overflow
 
@@ -236,6 +294,10 @@ class LogLinearLayout(_LogLayout):
         e = math.floor(g) - 1
         return math.ldexp(g - e, e - 1023)
 
+    @staticmethod
+    def _shrink_sql(g: str) -> str:
+        return f"({g} - floor({g}) + 1D) * power(2D, floor({g}) - 1024D)"
+
 
 class LogQuadraticLayout(_LogLayout):
     """Relative widths by quadratic pieces: about 8 % more bins than necessary."""
@@ -260,6 +322,11 @@ class LogQuadraticLayout(_LogLayout):
         e = math.floor(g / 3)
         return math.ldexp(3 - math.sqrt(max(0.0, 3 * e + 4 - g)), e - 1023)
 
+    @staticmethod
+    def _shrink_sql(g: str) -> str:
+        e = f"floor({g} / 3D)"
+        return f"(3D - sqrt(greatest(0D, 3D * {e} + 4D - {g}))) * power(2D, {e} - 1023D)"
+
 
 class LogOptimalLayout(_LogLayout):
     """Relative widths by logarithm: the fewest bins; depends on the platform's log in the last bit."""
@@ -276,6 +343,10 @@ class LogOptimalLayout(_LogLayout):
     def _shrink(g: float) -> float:
         return math.exp(g + math.log(fb.MIN_VALUE))
 
+    @staticmethod
+    def _shrink_sql(g: str) -> str:
+        return f"exp({g} + {fb.sql(math.log(fb.MIN_VALUE))})"
+
 
 def exponential_boundaries(scale: int) -> list[float]:
     """Mantissas in (1, 2) at which the 2^scale buckets of an octave begin, exactly rounded up."""
@@ -289,9 +360,11 @@ def exponential_boundaries(scale: int) -> list[float]:
     return out
 
 
-class ExponentialLayout(Layout):
+class ExponentialLayout(_MirroredLayout):
     """Exponential buckets of base 2^(2^-scale), scale 0 to 10; shared instances."""
 
+    zero = 0
+
     def __new__(cls, scale: int):
         return _exponential(scale)
 
@@ -360,6 +433,12 @@ class ExponentialLayout(Layout):
                 u = fb.INF
         return u if i > 0 else -u
 
+    def seed_sql(self, k: str) -> str:
+        j = f"(bigint({k}) - {self.shift}L)"
+        edges = f"array({', '.join(map(fb.sql, [1.0, *self.bounds]))})"
+        far = f"get({edges}, int({j} & {(1 << self.scale) - 1}L)) * power(2D, shiftright({j}, {self.scale}) - 1023D)"
+        return f"IF({k} < {fb.sql(float(self.first_bits))}, {k} * {fb.sql(fb.MIN_VALUE)}, {far})"
+
     def _key(self) -> tuple:
         return (self.scale,)
 
@@ -416,6 +495,12 @@ class CustomLayout(Layout):
             return fb.INF
         return fb.ordered_to_double(self._order[max(i, 0)] - 1)
 
+    def bounds_sql(self, i: str) -> tuple[str, str]:
+        b = ", ".join(map(fb.sql, [-fb.INF, *self.boundaries]))
+        e = ", ".join(fb.sql(self.upper_bound(n)) for n in range(len(self.boundaries) + 1))
+        at = f"least(greatest({i}, 0), {len(self.boundaries)})"
+        return f"get(array({b}), {at})", f"get(array({e}), {at})"
+
     @cached_property
     def _frozen(self) -> tuple:
         return tuple(self._order)
