@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkhist.functions import floatbits as fb
@@ -76,3 +76,31 @@ def pivot_quantiles(found: DataFrame, ps: Sequence[float], keys: Sequence[str] =
         F.max(F.when(F.col("p") == float(p), F.col("value"))).alias("p" + f"{100 * p:g}".replace(".", "_")) for p in ps
     ]
     return found.groupBy(*keys).agg(*cols)
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, ps: Sequence[float], keys: Sequence[str] = (), alpha: float = 0.4, beta: float = 0.4
+) -> DataFrame:
+    """keys, p, value: quantiles of the values themselves, by plotting positions, without a histogram.
+
+    Values are ranked within their key by a sort that spills; only the two of
+    each quantile go on.  Nulls are skipped.
+    """
+    check_positions(alpha, beta)
+    by = Window.partitionBy(*keys)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    rows = rows.withColumns(
+        {"_r": F.row_number().over(by.orderBy("_v")).cast("long") - 1, "total_count": F.count(F.lit(1)).over(by)}
+    )
+    clamped = "least(greatest(p, 0D), 1D)"
+    line = f"least(greatest({alpha - 1.0!r}D + {clamped} * (total_count - {float(beta)!r}D - {alpha - 1.0!r}D), 0D), total_count - 1D)"
+    near = f"p -> abs({line} - _r) <= 2D + 1e-9D * total_count"
+    rows = rows.withColumn("_ps", F.expr(f"filter(array({', '.join(fb.sql(float(p)) for p in ps)}), {near})"))
+    rows = rows.where("size(_ps) > 0").withColumn("p", F.explode("_ps"))
+    rows = rows.withColumn("_z", F.expr(position_sql(clamped, "total_count", alpha, beta)))
+    rows = rows.where("_r = bigint(floor(_z)) OR _r = bigint(floor(_z)) + 1")
+    found = rows.groupBy(*keys, "p").agg(
+        F.expr("first(_z) AS _z"), F.expr("min_by(_v, _r) AS _v1"), F.expr("max_by(_v, _r) AS _v2")
+    )
+    inner = interpolate_sql("(_z - floor(_z))", "0D", "_v1", "1D", "_v2")
+    return found.select(*keys, "p", F.expr(f"CASE WHEN _z = floor(_z) THEN _v1 ELSE {inner} END").alias("value"))

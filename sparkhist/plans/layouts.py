@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ _LOWEST, _HIGHEST = fb.double_to_ordered(-fb.INF), fb.double_to_ordered(fb.INF)
 class Layout:
     """Subclasses give `underflow`, `overflow`, `raw_index` and `raw_sql`.
 
-    A user's own layout may leave `raw_sql` out; `raw_index` then runs in an
-    Arrow-batched function.
+    A user's own layout may leave `raw_sql` out; `raw_indices` then runs on
+    Arrow batches.  It may give `bounds_sql` too.
     """
 
     underflow: int
@@ -33,6 +34,11 @@ class Layout:
         """The bin of a number before clamping; monotone."""
         raise NotImplementedError
 
+    def raw_indices(self, values: np.ndarray) -> np.ndarray:
+        """`raw_index` of an array of finite doubles; a layout without `raw_sql` should compute it on the whole array."""
+        different, where = np.unique(values, return_inverse=True)
+        return np.array([self.raw_index(v) for v in different.tolist()], np.int64)[where]
+
     def raw_sql(self, x: str) -> str | None:
         """SQL for the bin of a finite double, as a double; it may exceed the range."""
         return None
@@ -107,7 +113,12 @@ class Layout:
 def _python_index(layout: Layout):
     @F.pandas_udf("int")
     def index(x: pd.Series) -> pd.Series:
-        return x.map(layout.index, na_action="ignore").astype("Int32")
+        out = pd.Series(pd.NA, x.index, "Int32")
+        known = x.notna()
+        if known.any():
+            raw = np.asarray(layout.raw_indices(x[known].to_numpy(float)), np.int64)
+            out[known] = np.clip(raw, layout.underflow, layout.overflow)
+        return out
 
     return index
 

@@ -77,13 +77,33 @@ def bin_logoptimal_price(spark, d):
 
 @query(
     f"SELECT {FLAG}, bin_index, count(*) AS bin_count, min(x) AS bin_min, max(x) AS bin_max FROM ("
-    + sql.exponential(3, EXPONENTIAL.shift, "lineitem", PRICE, FLAG, EXPONENTIAL.bounds)
+    + sql.exponential(EXPONENTIAL, "lineitem", PRICE, FLAG)
     + f") GROUP BY {FLAG}, bin_index"
 )
 def bin_exponential_price(spark, d):
     return _prices(spark, d, EXPONENTIAL)
 
 
+SEGMENT, BALANCE = "c_mktsegment", "c_acctbal"
+#: Balances of either sign, and the same scaled down until they are subnormal.
+_SUBNORMAL = f"{BALANCE} * CAST('1e-312' AS DOUBLE)"
+
+
+def _exponential(value: str) -> str:
+    rows = sql.exponential(EXPONENTIAL, "customer", value, SEGMENT)
+    return f"SELECT {SEGMENT}, bin_index, count(*) AS bin_count, min(x) AS bin_min, max(x) AS bin_max FROM ({rows}) GROUP BY {SEGMENT}, bin_index"
+
+
+@query(_exponential(BALANCE))
+def bin_exponential_signed(spark, d):
+    return histogram.record(table(spark, d, "customer"), BALANCE, EXPONENTIAL, [SEGMENT])
+
+
+@query(_exponential(_SUBNORMAL))
+def bin_exponential_subnormal(spark, d):
+    return histogram.record(table(spark, d, "customer"), F.expr(_SUBNORMAL), EXPONENTIAL, [SEGMENT])
+
+
 @query(_counts(SIGNED, "c_mktsegment", "customer", "c_acctbal"))
 def bin_signed_balance(spark, d):
     return histogram.record(table(spark, d, "customer"), "c_acctbal", SIGNED, ["c_mktsegment"])
@@ -144,6 +164,66 @@ def bins_view(spark, d):
     return v.withColumn("width", F.round("width", 6))
 
 
+def _view(name: str, layout, source: str, value: str, key: str, indices=None) -> None:
+    """Bounds are compared exactly; what differs in width is the rounding of one subtraction."""
+
+    def run(spark, d):
+        return bins.bins_view(histogram.record(table(spark, d, source), value, layout, [key]), layout, [key])
+
+    run.__name__ = name
+    query(sql.view(layout, source, value, key, indices))(run)
+
+
+_view("bins_view_loglinear_signed", SIGNED, "customer", BALANCE, SEGMENT)
+_view("bins_view_logquadratic", QUADRATIC, "lineitem", PRICE, FLAG)
+_view(
+    "bins_view_exponential_signed", EXPONENTIAL, "customer", BALANCE, SEGMENT,
+    [s * i for i in range(EXPONENTIAL.index(0.001), EXPONENTIAL.index(1e6)) for s in (1, -1)],
+)
+
+_SAMPLED = [LINEAR, QUADRATIC, SIGNED, EXPONENTIAL, CUSTOM]
+_BINS = [sorted({*range(max(x.underflow, -40), min(x.overflow, 40) + 1), x.underflow, x.overflow}) for x in _SAMPLED]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{type(x).__name__}{n}' AS layout, bin_index, lo AS lower_bound, hi AS upper_bound FROM {sql.bounds_values(x, i)}"
+        for n, (x, i) in enumerate(zip(_SAMPLED, _BINS))
+    )
+)
+def layout_bounds(spark, d):
+    """Bounds of bins that hold nothing, from the layouts alone, underflow and overflow among them."""
+    parts = []
+    for n, (x, indices) in enumerate(zip(_SAMPLED, _BINS)):
+        lower, upper = bins.bounds_columns(x, "bin_index")
+        grid = spark.range(indices[0], indices[-1] + 1, 1, 1).select(F.col("id").cast("int").alias("bin_index"))
+        grid = grid.where(F.col("bin_index").isin(indices))
+        parts.append(grid.select(F.lit(f"{type(x).__name__}{n}").alias("layout"), "bin_index", lower.alias("lower_bound"), upper.alias("upper_bound")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{type(x).__name__}{n}' AS layout, {sql.num(x.normal_range[0])} AS normal_lower, {sql.num(x.normal_range[1])} AS normal_upper"
+        for n, x in enumerate(_SAMPLED)
+    )
+)
+def layout_normal_range(spark, d):
+    """The range between underflow and overflow, from the expressions of the outermost bins."""
+    parts = []
+    for n, x in enumerate(_SAMPLED):
+        row = spark.range(1).select(F.lit(x.underflow + 1).alias("first"), F.lit(x.overflow - 1).alias("last"))
+        lower, upper = bins.bounds_columns(x, "first")[0], bins.bounds_columns(x, "last")[1]
+        parts.append(row.select(F.lit(f"{type(x).__name__}{n}").alias("layout"), lower.alias("normal_lower"), upper.alias("normal_upper")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @query(
     f"""SELECT {FLAG}, bin_index, bin_count, place FROM (SELECT *, CAST(row_number() OVER
     (PARTITION BY {FLAG} ORDER BY bin_index DESC) AS INTEGER) AS place FROM ({_counts(QUADRATIC)})) WHERE place <= 5"""
@@ -241,12 +321,35 @@ def quantile_exact_groups(spark, d):
     return table(spark, d, "lineitem").groupBy(FLAG).agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
 
 
-@query("SELECT o_custkey, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.9), 6) AS p90 FROM orders GROUP BY o_custkey")
+@query("""SELECT vec_id, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90
+    FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY vec_id""")
 def quantile_exact_array(spark, d):
-    """Exact quantiles of one customer's orders, from a sorted array."""
-    a = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_totalprice")).alias("a"))
+    """Exact quantiles of an array of bounded length, sorted in place."""
+    a = table(spark, d, "embeddings").select("vec_id", F.array_sort(F.col("embedding").cast("array<double>")).alias("a"))
     at = lambda p: F.round(array_quantile(F.col("a"), p, 1.0, 1.0), 6)
-    return a.select("o_custkey", at(0.5).alias("p50"), at(0.9).alias("p90"))
+    return a.select("vec_id", at(0.5).alias("p50"), at(0.9).alias("p90"))
+
+
+def _exact(alpha: float, beta: float) -> str:
+    z = f"least(greatest({alpha - 1} + p * (n - {beta} - ({alpha - 1})), 0), n - 1)"
+    return f"""WITH r AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n
+      FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice)),
+    q AS (SELECT *, {z} AS z FROM (SELECT DISTINCT o_custkey, n FROM r) CROSS JOIN (SELECT unnest([CAST(0.1 AS DOUBLE), 0.5, 0.9]) AS p))
+    SELECT q.o_custkey, p, round(a.v + (z - floor(z)) * (coalesce(b.v, a.v) - a.v), 6) AS value FROM q
+    JOIN r a ON a.o_custkey = q.o_custkey AND a.i = floor(z) LEFT JOIN r b ON b.o_custkey = q.o_custkey AND b.i = floor(z) + 1"""
+
+
+def _exact_query(name: str, alpha: float, beta: float) -> None:
+    def run(spark, d):
+        found = quantiles.exact_quantiles(table(spark, d, "orders"), "o_totalprice", [0.1, 0.5, 0.9], ["o_custkey"], alpha, beta)
+        return found.withColumn("value", F.round("value", 6))
+
+    run.__name__ = name
+    query(_exact(alpha, beta))(run)
+
+
+_exact_query("quantile_exact_ranked", 0.4, 0.4)
+_exact_query("quantile_exact_hazen", 0.5, 0.5)
 
 
 @query(f"SELECT {FLAG}, CAST(p AS DOUBLE) AS p, true AS within FROM (SELECT DISTINCT {FLAG} FROM lineitem) CROSS JOIN (SELECT unnest([0.05, 0.5, 0.95, 0.99]) AS p)")
@@ -299,13 +402,19 @@ def hist_equal_merged(spark, d):
     return histogram.equal(histogram.merge(h, keys=[FLAG]), _prices(spark, d, LINEAR), [FLAG])
 
 
+_REGULAR = f"bin_index > 0 AND bin_index < {CUSTOM.overflow}"
+_BITS = "CASE " + " ".join(f"WHEN t >= {2**b}::HUGEINT THEN {2 * b}" for b in (32, 16, 8, 4, 2, 1)) + " ELSE 1 END"
+
+
 @query(
-    f"""SELECT {FLAG}, CAST({76 + 8 * (CUSTOM.overflow - CUSTOM.underflow - 1)} AS BIGINT) AS static_bytes,
-    72 + 12 * count(*) FILTER (WHERE bin_index > 0 AND bin_index < {CUSTOM.overflow}) AS preprocessed_bytes
-    FROM ({_counts(CUSTOM)}) GROUP BY {FLAG}"""
+    f"""SELECT {FLAG}, static_bytes, preprocessed_bytes, CAST(82 + 8 * ceil(coalesce(span, 0) * ({_BITS}) / 64.0) AS BIGINT) AS dynamic_bytes FROM (
+    SELECT {FLAG}, CAST({76 + 8 * (CUSTOM.overflow - CUSTOM.underflow - 1)} AS BIGINT) AS static_bytes,
+    72 + 12 * count(*) FILTER (WHERE {_REGULAR}) AS preprocessed_bytes,
+    max(bin_index) FILTER (WHERE {_REGULAR}) - min(bin_index) FILTER (WHERE {_REGULAR}) + 1 AS span,
+    coalesce(bit_or(bin_count) FILTER (WHERE {_REGULAR}), 0) AS t FROM ({_counts(CUSTOM)}) GROUP BY {FLAG})"""
 )
 def hist_footprint(spark, d):
-    return histogram.footprint(_prices(spark, d, CUSTOM), CUSTOM, [FLAG]).drop("dynamic_bytes")
+    return histogram.footprint(_prices(spark, d, CUSTOM), CUSTOM, [FLAG])
 
 
 @query(
@@ -373,6 +482,21 @@ def events_sliding(spark, d):
     return h.select(F.col("window_start").cast("date").alias("day"), "bin_index", "bin_count")
 
 
+@query(
+    f"""WITH t AS (SELECT user_id, ts, bin_index, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS opens
+      FROM ({sql.binned(SIGNED, "events", "value", "ts, user_id")}) WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM t),
+    e AS (SELECT *, min(ts) OVER w AS a, max(ts) OVER w AS b FROM n WINDOW w AS (PARTITION BY user_id, s))
+    SELECT CAST(epoch_us(a) AS BIGINT) AS start_us, CAST(epoch_us(b) + {12 * 3600 * 10**6} AS BIGINT) AS end_us, user_id, bin_index, count(*) AS bin_count
+    FROM e GROUP BY ALL"""
+)
+def events_sessions(spark, d):
+    """Histograms of sessions that a pause of twelve hours ends."""
+    h = record_windows(table(spark, d, "events"), "ts", "value", SIGNED, "12 hours", keys=["user_id"], session=True)
+    at = lambda c: F.unix_micros(c)
+    return h.select(at("window_start").alias("start_us"), at("window_end").alias("end_us"), "user_id", "bin_index", "bin_count")
+
+
 @query(
     f"""SELECT {FLAG}, count(*) FILTER (WHERE x < 20000) AS below_count,
     count(*) FILTER (WHERE x < 20000) / CAST(count(*) AS DOUBLE) AS share FROM ({sql.binned(CUSTOM, "lineitem", PRICE, FLAG)}) GROUP BY {FLAG}"""
@@ -390,15 +514,32 @@ def bins_describe(spark, d):
     return bins.describe(bins.bins_view(_prices(spark, d, COARSE), COARSE, [FLAG]), [FLAG])
 
 
-@query()
+_LINE = f"{sql.scientific('lower_bound')} || ' - ' || {sql.scientific('upper_bound')} || ' : '"
+
+
+@query(
+    f"SELECT {FLAG}, bin_index, {_LINE} || lpad(CAST(bin_count AS VARCHAR), 19, ' ') AS line FROM ({sql.view(COARSE, 'lineitem', PRICE, FLAG)})"
+)
 def bins_print(spark, d):
     return bins.print_bins(bins.bins_view(_prices(spark, d, COARSE), COARSE, [FLAG]), [FLAG])
 
 
-@query()
+_KEYS = CustomLayout(5, 10, 20)
+
+
+@query(f"SELECT bin_index, {_LINE} || repeat('*', less_count + bin_count) AS line FROM ({sql.view(_KEYS, 'nation', 'n_nationkey', '1')})")
 def bins_print_stars(spark, d):
-    h = histogram.record(table(spark, d, "nation"), F.col("n_nationkey"), CustomLayout(5, 10, 20))
-    return bins.print_stars(bins.bins_view(h, CustomLayout(5, 10, 20)))
+    h = histogram.record(table(spark, d, "nation"), F.col("n_nationkey"), _KEYS)
+    return bins.print_stars(bins.bins_view(h, _KEYS))
+
+
+@query(_PLAIN)
+def codec_table_function(spark, d):
+    """Stored histograms read by a table function in SQL."""
+    packed = histogram.pack(_prices(spark, d, QUADRATIC), [FLAG])
+    packed.select(FLAG, codec.encode_column(F.col("hist"), QUADRATIC).alias("data")).createOrReplaceTempView("stored_histograms")
+    spark.udtf.register("hist_bins", codec.hist_bins(QUADRATIC))
+    return spark.sql(f"SELECT {FLAG}, b.bin_index, b.bin_count FROM stored_histograms, LATERAL hist_bins(data) b")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

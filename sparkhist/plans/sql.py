@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
-from sparkhist.plans.layouts import CustomLayout, LogLinearLayout, LogOptimalLayout, LogQuadraticLayout
+from sparkhist.plans.layouts import CustomLayout, ExponentialLayout, LogLinearLayout, LogOptimalLayout, LogQuadraticLayout
 
 
 def num(x: float) -> str:
@@ -37,14 +38,21 @@ def binned(layout, source: str, value: str, keep: str = "") -> str:
       FROM (SELECT *, abs(x) AS u FROM ({src}))))))))"""
 
 
-def exponential(scale: int, shift: int, source: str, value: str, keep: str, bounds: list[float]) -> str:
-    """`binned` of exponential buckets for normal positive values."""
+def exponential(layout: ExponentialLayout, source: str, value: str, keep: str) -> str:
+    """`binned` of exponential buckets, for all finite values."""
+    n, bounds = 1 << layout.scale, layout.bounds
     k = "len(list_filter([" + ", ".join(num(b) for b in bounds) + "], lambda b: b <= m))" if bounds else "0"
-    return f"""SELECT {keep}, x, CAST((e + 1023) * {1 << scale} + {k} + {shift} AS INTEGER) AS bin_index
-      FROM (SELECT *, x / pow(2.0, e) AS m
-      FROM (SELECT *, CASE WHEN pow(2.0, e1 + 1) <= x THEN e1 + 1 ELSE e1 END AS e
-      FROM (SELECT *, CASE WHEN pow(2.0, e0) > x THEN e0 - 1 ELSE e0 END AS e1
-      FROM (SELECT *, floor(log2(x)) AS e0 FROM (SELECT {keep}, CAST({value} AS DOUBLE) AS x FROM {source})))))"""
+    least = num(layout.first_bits * 5e-324)
+    return f"""SELECT {keep}, x, CAST(CASE WHEN x < 0 THEN -i ELSE i END AS INTEGER) AS bin_index FROM (SELECT *,
+      CASE WHEN u < {least} THEN floor(u / {num(5e-324)}) ELSE (e + 1023 - CASE WHEN tiny THEN 60 ELSE 0 END) * {n} + {k} + {layout.shift} END AS i
+      FROM (SELECT *, w / pow(2.0, e) AS m
+      FROM (SELECT *, CASE WHEN pow(2.0, e1 + 1) <= w THEN e1 + 1 ELSE e1 END AS e
+      FROM (SELECT *, CASE WHEN pow(2.0, e0) > w THEN e0 - 1 ELSE e0 END AS e1
+      FROM (SELECT *, floor(log2(w)) AS e0
+      FROM (SELECT *, CASE WHEN tiny THEN v * pow(2.0, 60) ELSE v END AS w
+      FROM (SELECT *, v < {num(2.2250738585072014e-308)} AS tiny
+      FROM (SELECT *, greatest(u, {least}) AS v
+      FROM (SELECT *, abs(x) AS u FROM (SELECT {keep}, CAST({value} AS DOUBLE) AS x FROM {source}))))))))))"""
 
 
 def interpolated(x: str, x1: str, y1: str, x2: str, y2: str) -> str:
@@ -59,19 +67,18 @@ def interpolated(x: str, x1: str, y1: str, x2: str, y2: str) -> str:
     )
 
 
-def bounds_values(layout: CustomLayout) -> str:
-    """(bin_index, lo, hi) of a custom layout, its boundaries written out."""
-    b = layout.boundaries
-    rows = []
-    for i in range(len(b) + 1):
-        lo = num(b[i - 1]) if i else "CAST('-Infinity' AS DOUBLE)"
-        hi = num(math.nextafter(b[i], -math.inf)) if i < len(b) else "CAST('Infinity' AS DOUBLE)"
-        rows.append(f"({i}, {lo}, {hi})")
-    return f"(VALUES {', '.join(rows)}) AS b(bin_index, lo, hi)"
+def bounds_values(layout, indices: Iterable[int] | None = None, name: str = "b") -> str:
+    """(bin_index, lo, hi) of bins, found by search on the driver and written out."""
+    rows = [
+        f"({i}, {num(layout.lower_bound(i))}, {num(layout.upper_bound(i))})"
+        for i in (range(layout.underflow, layout.overflow + 1) if indices is None else indices)
+    ]
+    return f"(VALUES {', '.join(rows)}) AS {name}(bin_index, lo, hi)"
 
 
-def view(layout: CustomLayout, source: str, value: str, key: str) -> str:
-    """The bins view of a custom layout as a query."""
+def view(layout, source: str, value: str, key: str, indices: Iterable[int] | None = None) -> str:
+    """The bins view of a layout as a query; `indices`: the bins there may be, if not all."""
+    rows = exponential(layout, source, value, key) if isinstance(layout, ExponentialLayout) else binned(layout, source, value, key)
     return f"""SELECT {key}, v.bin_index, bin_count, less_count, total_count - less_count - bin_count AS greater_count,
       greatest(min_value, lo) AS lower_bound, least(max_value, hi) AS upper_bound,
       least(max_value, hi) - greatest(min_value, lo) AS width,
@@ -82,8 +89,18 @@ def view(layout: CustomLayout, source: str, value: str, key: str) -> str:
         CAST(sum(bin_count) OVER (PARTITION BY {key}) AS BIGINT) AS total_count,
         min(lo) OVER (PARTITION BY {key}) AS min_value, max(hi) OVER (PARTITION BY {key}) AS max_value
         FROM (SELECT {key}, bin_index, count(*) AS bin_count, min(x) AS lo, max(x) AS hi
-          FROM ({binned(layout, source, value, key)}) GROUP BY {key}, bin_index)) v
-      JOIN {bounds_values(layout)} ON v.bin_index = b.bin_index"""
+          FROM ({rows}) GROUP BY {key}, bin_index)) v
+      JOIN {bounds_values(layout, indices)} ON v.bin_index = b.bin_index"""
+
+
+def scientific(x: str) -> str:
+    """A number of 1 or more, or 0, with 17 digits after the point: its shortest digits, then zeros; 24 wide."""
+    text = f"CAST({x} AS VARCHAR)"
+    whole = f"split_part({text}, '.', 1)"
+    digits = f"rtrim({whole} || split_part({text}, '.', 2), '0')"
+    e = f"(length({whole}) - 1)"
+    number = f"left({digits}, 1) || '.' || rpad(substr({digits}, 2), 17, '0') || 'E+' || lpad(CAST({e} AS VARCHAR), 2, '0')"
+    return f"lpad(CASE WHEN {x} = 0 THEN '0.' || repeat('0', 17) || 'E+00' ELSE {number} END, 24, ' ')"
 
 
 def estimated(kind: str, rank: str) -> str:
