@@ -173,6 +173,28 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as workers stay when their task is done."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
+def sliced(batches, rows: int = 1024):
+    """Record batches of at most `rows` rows; memory is given back after each batch and at the end."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        del b
+        trim()
+
+
 def by_group(batches, keys: list[str]):
     """Tables of the runs of equal `keys` in a sorted stream of record batches.
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import fresh, materialize
+from sparkhist.llm._common import fresh, materialize, trim
 
 #: Rows of one flight.
 BLOCK = 20_000
@@ -150,6 +150,7 @@ def _flier(seed: int, level: int):
         if len(pdf) and pdf["blocks"].iloc[0] == 1:
             p = land(pdf["size"].to_numpy(), p, pdf["pi"].to_numpy())
         pdf["pi"] = p
+        trim()
         return pdf.drop(columns="block")
 
     return fly

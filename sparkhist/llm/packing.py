@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkhist.llm._common import sliced, trim
 from sparkhist.llm.tokens import default_path, encoder
 
 #: Windows a task keeps open before it fills some up by cutting.
@@ -178,7 +179,7 @@ def pack(
 
         packer = Packer(capacity, emit)
         end = int(end_id).to_bytes(4, "little")
-        for b in batches:
+        for b in sliced(batches):
             key_type = b.column("doc_id").type
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 packer.add(key, enc.ids_bytes(text.as_py() or "") + end)
@@ -187,5 +188,7 @@ def pack(
         packer.finish()
         if out:
             yield flush()
+        del packer
+        trim()
 
     return src.mapInArrow(run, schema)

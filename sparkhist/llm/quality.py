@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import crc_mod, materialize, one_text_each
+from sparkhist.llm._common import crc_mod, materialize, one_text_each, sliced
 
 #: Rated rows to learn from, at most.
 SAMPLE = 6_000
@@ -141,7 +141,7 @@ def fit(
     rows = one_text_each(rows.select("doc_id", "text", "y"), "doc_id").select("text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for t in b.column("text"):
                 i, v = hashed(t.as_py())
@@ -173,7 +173,7 @@ def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             z = []
             for t in b.column("text"):
                 i, v = hashed(t.as_py())

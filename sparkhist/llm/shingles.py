@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import connected_components, materialize, split_join
+from sparkhist.llm._common import connected_components, materialize, sliced, split_join
 
 #: Buckets of every text, and least hashes that must agree in one of them.
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 23, 4
 SEED = 42
 
 
@@ -56,7 +56,7 @@ def _arrays(texts: DataFrame, make, name: str) -> DataFrame:
     """(text_hash, `name`): what `make` returns for the text of every row, as signed 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = pa.array([make(t.as_py()).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("text_hash"), out], names=["text_hash", name])
 
@@ -85,7 +85,7 @@ def link(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFra
     heads = materialize(heads.where("head < last").drop("last"), "heads")
     met = materialize(split_join(keyed, heads, ["k"], "n").select("k", "text_hash", "head").distinct(), "met")
     wanted = materialize(met.select("text_hash").distinct(), "wanted")
-    one = texts.dropDuplicates(["text_hash"]).join(wanted, "text_hash", "left_semi")
+    one = texts.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
     sets = materialize(_arrays(one, lambda t: shingle_set(t, shingle), "hashes"), "sets")
     star = met.where("text_hash <> head").select(F.col("head").alias("a"), F.col("text_hash").alias("b")).distinct()
     near = _similar(star, sets, similarity)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import connected_components, fresh, materialize, split_join
+from sparkhist.llm._common import connected_components, fresh, materialize, sliced, split_join
 
 #: Blocks of the 64 bits, of which all but two must agree.
 BLOCKS = (13, 13, 13, 13, 12)
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))],

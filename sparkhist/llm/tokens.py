@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkhist.llm._common import sliced
+
 #: The published pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts without two white-space characters in a row.
@@ -295,22 +297,20 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = prefix_counter(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
-                size, n, blobs = [], [], []
-                for t in b.column("text"):
-                    steps = c.steps(t.as_py() or "")
-                    size.append(len(steps))
-                    n.append(int(steps.sum(dtype=np.int64)))
-                    if with_prefixes:
-                        blobs.append(pack_prefixes(steps))
-                over = pa.array([x > limit for x in n], pa.bool_())
-                cols = [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), over]
-                names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+        for b in sliced(batches):
+            size, n, blobs = [], [], []
+            for t in b.column("text"):
+                steps = c.steps(t.as_py() or "")
+                size.append(len(steps))
+                n.append(int(steps.sum(dtype=np.int64)))
                 if with_prefixes:
-                    cols.append(pa.array(blobs, pa.binary()))
-                    names.append("prefix_counts")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                    blobs.append(pack_prefixes(steps))
+            over = pa.array([x > limit for x in n], pa.bool_())
+            cols = [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), over]
+            names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+            if with_prefixes:
+                cols.append(pa.array(blobs, pa.binary()))
+                names.append("prefix_counts")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return src.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import crc_mod, materialize, one_text_each
+from sparkhist.llm._common import crc_mod, materialize, one_text_each, sliced
 
 #: Labelled rows to learn from, at most; the smallest by hash of their id.
 SAMPLE = 12_000
@@ -250,7 +250,7 @@ def _mine(rows: DataFrame, size: dict[tuple[int, int], int]) -> list[tuple[str,
     """Terms with documents by fold and label, those that a lexicon takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 10_000):
             counts: Counter = Counter()
             for text, y, fold in zip(b.column("text"), b.column("y").to_pylist(), b.column("fold").to_pylist()):
                 k = 2 * fold + y
@@ -314,7 +314,7 @@ def fit(
     other = {0: _lexicon(found, (1,), size), 1: _lexicon(found, (0,), size)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             folds = b.column("fold").to_pylist()
             x = [features(t.as_py(), other[f]) for t, f in zip(b.column("text"), folds)]
             yield pa.RecordBatch.from_arrays(
@@ -343,7 +343,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([features(t.as_py(), model.lexicon) for t in b.column("text")]).reshape(-1, len(NAMES))
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
@@ -365,7 +365,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(b.schema.get_field_index(text_col))
             x = np.array([features(t.as_py(), model.lexicon) for t in texts]).reshape(-1, len(NAMES))
             yield b.filter(pa.array(model.score(x) < threshold))

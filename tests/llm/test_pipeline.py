@@ -73,12 +73,14 @@ def test_rest_works_without_these_operators(tmp_path):
         "class Gone(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, *_):\n"
         "        if name == 'corpus_pipeline' or name.startswith('sparkhist.llm'):\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert e.queries() and not any(q.startswith('op') for q in e.queries()) and 'pipeline' not in e.queries()\n"
         "assert set(e.oracle_sql()) <= set(e.queries())\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+    broken = code.replace("name == 'corpus_pipeline' or name.startswith('sparkhist.llm')", "name == 'sparkhist.llm.tokens'")
+    assert subprocess.run([sys.executable, "-c", broken], cwd=root, capture_output=True).returncode  # isn't swallowed
     entry = importlib.import_module("__spark_entry__")
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
