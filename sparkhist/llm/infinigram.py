@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkhist.llm import _common
-from sparkhist.llm._common import crc_mod, shared_dir
+from sparkhist.llm._common import crc_mod, shared_dir, trim
 
 #: Bytes of text in a shard, about; tokens that are scored against it at once; those of them numbered at once.
 SHARD_BYTES, BATCH_TOKENS, PART_TOKENS = 60_000_000, 6_000_000, 2_000_000
@@ -150,6 +150,7 @@ class Shard:
         odd = np.arange(1, extra + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         table = np.concatenate([np.zeros(1, np.uint64), self.vocabulary, odd])
         self.prefix = prefix_hashes(self.tokens, table)
+        self.second = prime_hashes(self.tokens, table)
         return self
 
 
@@ -171,6 +172,37 @@ def power(i: np.ndarray) -> np.ndarray:
         return _HIGH[i >> 14] * _LOW[i & 16383]
 
 
+#: A second hash, modulo a prime, tells apart what the first one can't: texts may be built to collide modulo 2^64.
+_P, _B2 = np.int64(2**31 - 1), 1_103_515_245
+
+
+def _prime_powers(n: int, first: int) -> np.ndarray:
+    out = [1]
+    for _ in range(n - 1):
+        out.append(out[-1] * first % int(_P))
+    return np.array(out, np.int64)
+
+
+_LOW2 = _prime_powers(1 << 14, _B2)
+_HIGH2 = _prime_powers(1 << 17, int(_LOW2[-1]) * _B2 % int(_P))
+
+
+def prime_power(i: np.ndarray) -> np.ndarray:
+    return _HIGH2[i >> 14] * _LOW2[i & 16383] % _P
+
+
+def prime_hashes(values: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """`prefix_hashes` modulo the prime."""
+    n = len(values)
+    out = np.zeros(n + 1, np.int32)
+    for i in range(0, n, STEP):
+        v = values[i : i + STEP]
+        v = ((v if table is None else table[v]) % np.uint64(_P)).astype(np.int64)
+        part = np.cumsum(v * prime_power(np.arange(i, i + len(v))) % _P)
+        out[i + 1 : i + 1 + len(v)] = (part + out[i]) % _P
+    return out
+
+
 def prefix_hashes(values: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
     """H[i] = sum of values[t] * B^t for t < i, modulo 2^64; values are looked up in `table` if there is one."""
     n = len(values)
@@ -192,6 +224,7 @@ class Texts:
         del rest
         token = self.rest > 0
         self.prefix = prefix_hashes(flat)
+        self.second = prime_hashes(flat)
         self.words, inverse = np.unique(flat[token], return_inverse=True)
         self.word_of = np.full(len(flat), -1, np.int32)
         self.word_of[token] = inverse
@@ -224,6 +257,20 @@ class Texts:
     def common(self, s: Shard, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length, up to `most`, of what text positions a and shard positions b have in common."""
         most = np.minimum(most, len(s.tokens) - b)
+        out = self._common(s, a, b, most, False)
+        # If any comparison on the way was wrong, what was found isn't equal by the second hash either.
+        wrong = np.flatnonzero(~self._same(s, a, b, out))
+        if len(wrong):
+            out[wrong] = self._common(s, a[wrong], b[wrong], most[wrong], True)
+        return out
+
+    def _same(self, s: Shard, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether n tokens from each a and b agree, by the second hash."""
+        x = (self.second[a + n].astype(np.int64) - self.second[a]) % _P * prime_power(b) % _P
+        y = (s.second[b + n].astype(np.int64) - s.second[b]) % _P * prime_power(a) % _P
+        return x == y
+
+    def _common(self, s: Shard, a: np.ndarray, b: np.ndarray, most: np.ndarray, both: bool) -> np.ndarray:
         out = np.zeros(len(a), np.int64)
         pa_, pb = power(a), power(b)
         ha, hb = self.prefix[a], s.prefix[b]
@@ -234,6 +281,8 @@ class Texts:
                 fits = to <= most
                 t = np.where(fits, to, 0)
                 same = (self.prefix[a + t] - ha) * pb == (s.prefix[b + t] - hb) * pa_
+                if both:
+                    same &= self._same(s, a, b, t)
                 out = np.where(fits & same, to, out)
                 bit >>= 1
         return out
@@ -464,7 +513,7 @@ def _write_shards(train: DataFrame, shards: int) -> tuple[str, int, int]:
             system.move(draft, f"{root}/shard-{shard}")
         words, counts = s.vocabulary.view(np.int64), s.counts
         del s, parts
-        _trim()
+        trim()
         for i in range(0, len(words), 1 << 16):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16)].astype(np.int64))],
@@ -490,17 +539,6 @@ def _read_shard(path: str, shard: int) -> Shard | None:
     return Shard(*parts).open()
 
 
-def _trim() -> None:
-    """Give freed memory back, as idle workers stay."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except OSError:  # another C library
-        return
-
-
 def score(
     docs: DataFrame,
     trains,
@@ -552,7 +590,7 @@ def score(
                 if part:
                     groups.append((cls([hashes[k] for k in part]), part))
             hashes.clear()  # of the texts, numbers of words remain
-            _trim()
+            trim()
             for i in range(shards):
                 if (s := _read_shard(path, i)) is not None:
                     for texts, _ in groups:
@@ -570,7 +608,7 @@ def score(
             keys.clear()
             learned.clear()
             groups.clear()
-            _trim()
+            trim()
             return result
 
         for b in batches:

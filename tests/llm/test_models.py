@@ -55,6 +55,28 @@ def test_scores_brute_force(seed):
             assert got == pytest.approx(w, abs=1e-9)
 
 
+def test_texts_built_to_collide_are_told_apart():
+    """The Thue-Morse sequence and its complement have one polynomial hash modulo 2^64, whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = (" ".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    shard = infinigram.Shard.build([infinigram.word_hashes(one), infinigram.word_hashes("b " + two)]).open()
+    texts = infinigram.Unseen([infinigram.word_hashes(two), infinigram.word_hashes("x")])
+    texts.meet(shard)
+    mine, theirs = infinigram.reverse_texts([infinigram.word_hashes(t) for t in (two, "x")])[0], []
+    for t in (one, "b " + two):
+        theirs += infinigram.reverse_texts([infinigram.word_hashes(t)])[0].tolist()
+    rng = np.random.default_rng(0)
+    a = np.concatenate([[0, 0, 1, 1], rng.integers(0, 1500, 40)])
+    b = np.concatenate([[0, 2050, 1, 2051], rng.integers(0, 4000, 40)])
+    assert texts.prefix[2049] - texts.prefix[1] == shard.prefix[2049] - shard.prefix[1]  # they do collide
+    most = texts.rest[a].astype(np.int64)
+    for i, j, n in zip(a.tolist(), b.tolist(), texts.common(shard, a, b, most).tolist()):
+        true = 0
+        while true < texts.rest[i] and i + true < len(mine) and j + true < len(theirs) and mine[i + true] == theirs[j + true] and theirs[j + true]:
+            true += 1
+        assert n == true, (i, j, n, true)
+
+
 def test_suffix_array():
     rng = random.Random(0)
     for n in (1, 2, 50, 400):
