@@ -58,21 +58,27 @@ def interpolate_col(x: Column, x1: Column, y1: Column, x2: Column, y2: Column) -
 
 
 def interpolate_sql(x: str, x1: str, y1: str, x2: str, y2: str) -> str:
-    """`interpolate_col` as text, of doubles named or spelled in SQL; one call to build instead of a hundred."""
-    span = f"nullif({x2} - {x1}, 0D)"
-    from_1 = f"({y1} + ({y2} - {y1}) * (({x} - {x1}) / {span}))"
-    from_2 = f"({y2} + ({y2} - {y1}) * (({x} - {x2}) / {span}))"
+    """`interpolate_col` as text, of doubles named or spelled in SQL; one call to build instead of a hundred.
+
+    What is used often is bound once, which keeps plans and generated code small.
+    """
+    span = "nullif(_i.x2 - _i.x1, 0D)"
+    from_1 = f"(_i.y1 + (_i.y2 - _i.y1) * ((_i.x - _i.x1) / {span}))"
+    from_2 = f"(_i.y2 + (_i.y2 - _i.y1) * ((_i.x - _i.x2) / {span}))"
     inf = "double('Infinity')"
     y = (
-        f"(CASE WHEN {x1} != {x2} AND abs({y1}) < {inf} AND abs({y2}) < {inf} THEN {from_1} * 0.5D + {from_2} * 0.5D "
-        f"ELSE {y1} * 0.5D + {y2} * 0.5D END)"
+        f"CASE WHEN _i.x1 != _i.x2 AND abs(_i.y1) < {inf} AND abs(_i.y2) < {inf} THEN {from_1} * 0.5D + {from_2} * 0.5D "
+        "ELSE _i.y1 * 0.5D + _i.y2 * 0.5D END"
     )
-    return (
-        f"(CASE WHEN {y1} = {y2} AND string({y1}) = string({y2}) THEN {y1} "
-        f"WHEN ({x} <= {x1} AND {x1} < {x2}) OR ({x} >= {x1} AND {x1} > {x2}) THEN {y1} "
-        f"WHEN ({x} <= {x2} AND {x2} < {x1}) OR ({x} >= {x2} AND {x2} > {x1}) THEN {y2} "
-        f"WHEN isnan({y}) THEN {y} ELSE least(greatest({y}, least({y1}, {y2})), greatest({y1}, {y2})) END)"
+    clamped = "IF(isnan(_iy), _iy, least(greatest(_iy, least(_i.y1, _i.y2)), greatest(_i.y1, _i.y2)))"
+    chosen = (
+        "CASE WHEN _i.y1 = _i.y2 AND string(_i.y1) = string(_i.y2) THEN _i.y1 "
+        "WHEN (_i.x <= _i.x1 AND _i.x1 < _i.x2) OR (_i.x >= _i.x1 AND _i.x1 > _i.x2) THEN _i.y1 "
+        "WHEN (_i.x <= _i.x2 AND _i.x2 < _i.x1) OR (_i.x >= _i.x2 AND _i.x2 > _i.x1) THEN _i.y2 "
+        f"ELSE get(transform(array({y}), _iy -> {clamped}), 0) END"
     )
+    given = f"named_struct('x', {x}, 'x1', {x1}, 'y1', {y1}, 'x2', {x2}, 'y2', {y2})"
+    return f"get(transform(array({given}), _i -> {chosen}), 0)"
 
 
 def estimate(

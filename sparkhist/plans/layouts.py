@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from sparkhist.functions import floatbits as fb
 
+#: Octaves above the limit up to which exponents are found by comparisons.
+MOST_OCTAVES = 48
 _LOWEST, _HIGHEST = fb.double_to_ordered(-fb.INF), fb.double_to_ordered(fb.INF)
 
 
@@ -35,9 +37,9 @@ class Layout:
         raise NotImplementedError
 
     def raw_indices(self, values: np.ndarray) -> np.ndarray:
-        """`raw_index` of an array of finite doubles; a layout without `raw_sql` should compute it on the whole array."""
+        """Bins of an array of finite doubles, clamped later; a layout without `raw_sql` should compute it on the whole array."""
         different, where = np.unique(values, return_inverse=True)
-        return np.array([self.raw_index(v) for v in different.tolist()], np.int64)[where]
+        return np.array([self.index(v) for v in different.tolist()], np.int64)[where]
 
     def raw_sql(self, x: str) -> str | None:
         """SQL for the bin of a finite double, as a double; it may exceed the range."""
@@ -201,6 +203,11 @@ class _LogLayout(_MirroredLayout):
     def _growth_sql(u: str) -> str:
         raise NotImplementedError
 
+    @staticmethod
+    def _parts_sql(m: str, e: str) -> str | None:
+        """`_growth` from mantissa and exponent, where it is made of these."""
+        return None
+
     @staticmethod
     def _shrink(g: float) -> float:
         """The inverse of `_growth`, near enough to seed a search."""
@@ -239,12 +246,31 @@ class _LogLayout(_MirroredLayout):
             i = fb.truncated(self.sub * u)
         return ~i if fb.is_negative(value) else i
 
+    def _wide_sql(self, u: str) -> str:
+        """`_growth` of u, which the limit and, where it is certain to lie in an outermost bin, a power of two bound.
+
+        Over few octaves the exponent is a sum of comparisons, which costs a
+        fraction of logarithm and powers.
+        """
+        least = max(self.limit, fb.MIN_NORMAL)
+        first = math.frexp(least)[1] - 1
+        last = math.frexp(max(map(abs, self._range)))[1]
+        if self._parts_sql("m", "e") is None or not 0 < last - first <= MOST_OCTAVES or last > 1023:
+            return self._growth_sql(f"greatest({u}, {fb.sql(least)})")
+        big = f"least(greatest({u}, {fb.sql(least)}), {fb.sql(math.ldexp(1.0, last))})"
+        octave = "(" + " + ".join(f"int({big} >= {fb.sql(math.ldexp(1.0, k))})" for k in range(first + 1, last + 1)) + ")"
+        scales = ", ".join(fb.sql(math.ldexp(1.0, -k)) for k in range(first, last + 1))
+        return self._parts_sql(f"({big} * get(array({scales}), {octave}))", f"double({octave} + {first})")
+
+    @cached_property
+    def _range(self) -> tuple[float, float]:
+        return self.upper_bound(self.underflow), self.lower_bound(self.overflow)
+
     def raw_sql(self, x: str) -> str:
         u, limit = f"abs({x})", fb.sql(self.limit)
         i = f"double(floor({fb.sql(self.sub)} * least({u}, {limit})))"
         if not (math.isinf(self.limit) or math.isinf(self.scale)):
-            big = f"greatest({u}, {fb.sql(max(self.limit, fb.MIN_NORMAL))})"
-            wide = f"double(floor({fb.sql(self.scale)} * {self._growth_sql(big)} + {fb.sql(self.offset)}))"
+            wide = f"double(floor({fb.sql(self.scale)} * {self._wide_sql(u)} + {fb.sql(self.offset)}))"
             start = fb.sql(float(fb.truncated(self.scale * self._growth(self.limit) + self.offset)))
             # Below the limit the second part is the limit's bin; from it on the first adds nothing.
             i = f"({wide} + least({i} - {start}, 0D))"
@@ -298,7 +324,11 @@ class LogLinearLayout(_LogLayout):
     @staticmethod
     def _growth_sql(u: str) -> str:
         e = fb.exponent(u)
-        return f"({u} / power(2D, {e}) + ({e} + 1023D))"
+        return LogLinearLayout._parts_sql(f"{u} / power(2D, {e})", e)
+
+    @staticmethod
+    def _parts_sql(m: str, e: str) -> str:
+        return f"({m} + ({e} + 1023D))"
 
     @staticmethod
     def _shrink(g: float) -> float:
@@ -325,7 +355,10 @@ class LogQuadraticLayout(_LogLayout):
     @staticmethod
     def _growth_sql(u: str) -> str:
         e = fb.exponent(u)
-        m = f"({u} / power(2D, {e}))"
+        return LogQuadraticLayout._parts_sql(f"({u} / power(2D, {e}))", e)
+
+    @staticmethod
+    def _parts_sql(m: str, e: str) -> str:
         return f"(({m} - 1D) * (5D - {m}) + 3D * ({e} + 1023D))"
 
     @staticmethod
