@@ -1,16 +1,21 @@
 """Nearest neighbours by inner product: probed lists, scanned a block of dimensions at a time.
 
 Vectors get one more component that makes all of them equally long, so the
-largest inner product is the least Euclidean distance.  A bounded sample
-yields centroids, one list each, and how many lists a query must probe;
-every row is indexed.  Rows and queries are turned by one random rotation
-and stored in column blocks.  A candidate's partial distance over the first
-d of D dimensions estimates the whole, and a hypothesis test abandons it once
+largest inner product is the least Euclidean distance.  A list is a coarse
+centroid (its cell) and a residual centroid, so that a bounded sample can fit
+as many lists as the table needs, about the square root of its rows; the
+sample also tells how many of them a query must probe.  Every row is indexed.
+Rows and queries are turned by one random rotation and scanned in column
+blocks.  A candidate's partial distance over the first d of D dimensions
+estimates the whole, and a hypothesis test abandons it once
 
     partial * D / d  >  (1 + EPSILON / sqrt(d))^2 * r^2,
 
 r being the query's k-th best distance so far (ADSampling: Gao and Long,
-2023).  What survives all blocks is scored exactly on the original vectors.
+2023), which tightens list by list: all lists of a cell that a query probes
+are scanned by one task, its nearest first.  What survives all blocks is
+scored on the original vectors by one sum of fixed order, so that equal
+vectors have equal scores wherever they are met.
 """
 
 from __future__ import annotations
@@ -23,25 +28,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkhist.llm._common import by_group, materialize, matrix, usable_vector
+from sparkhist.llm._common import by_group, good_vectors, materialize, matrix, vector_column
 
-#: Rows the index is fitted on, and those of them that set first thresholds, at most.
+#: Rows the index is fitted on and those of them that set first thresholds, at most, and at most so many bytes of them.
 SAMPLE, ANCHORS = 20_000, 4_000
-#: Rows of a list, or queries, that meet in one task.
-ROWS, QUERIES = 4_096, 1_024
+SAMPLE_BYTES, ANCHOR_BYTES = 24_000_000, 4_000_000
+#: Rows of a cell, and queries, that meet in one task.
+ROWS, QUERIES = 4_096, 4_096
 #: Recall the number of probed lists is chosen for, on the sample.
-RECALL = 0.97
+RECALL = 0.98
 EPSILON = 2.1
 BLOCK_DIMS = (16, 16, 32)
+#: Pairs of a query and a row that are held at once.
+PAIRS = 1 << 19
+
+
+def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products row by row, each summed in one order whatever stands beside it."""
+    return np.add.reduce(np.ascontiguousarray(x * q), axis=1)
 
 
 @dataclass
 class Index:
-    """What the tasks share: bounded by SAMPLE and the number of lists."""
+    """What the tasks share: bounded by SAMPLE_BYTES."""
 
     longest: float  # the largest squared norm
     rotation: np.ndarray
-    centroids: np.ndarray
+    coarse: np.ndarray
+    fine: np.ndarray
     probes: int
     anchors: np.ndarray  # original vectors
     anchor_ids: np.ndarray
@@ -54,18 +68,28 @@ class Index:
     def lift_query(self, q: np.ndarray) -> np.ndarray:
         return np.column_stack([q, np.zeros(len(q))]) @ self.rotation
 
+    def place(self, lifted: np.ndarray) -> np.ndarray:
+        """The list of each row: nearest cell, then nearest residual."""
+        cell = _distances(lifted, self.coarse).argmin(1)
+        return cell * len(self.fine) + _distances(lifted - self.coarse[cell], self.fine).argmin(1)
+
+    def far(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance of each query to the centre of each list, but for what all lists share."""
+        c, f = self.coarse, self.fine
+        centre = ((c * c).sum(1)[:, None] + 2 * c @ f.T + (f * f).sum(1)[None, :])[None, :, :]
+        return (centre - 2 * ((q @ c.T)[:, :, None] + (q @ f.T)[:, None, :])).reshape(len(q), -1)
+
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :]
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         near = np.concatenate([_distances(x[i : i + 4096], c).argmin(1) for i in range(0, len(x), 4096)])
         n = np.bincount(near, minlength=k)
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
+        total = np.stack([np.bincount(near, v, k) for v in x.T], 1)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.choice(len(x), k)])
     return c
 
@@ -75,61 +99,124 @@ def fit(sample_ids: np.ndarray, sample: np.ndarray, rows: int, longest: float, k
     rng = np.random.default_rng(0)
     dim = sample.shape[1] + 1
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    index = Index(longest, rotation, np.zeros((1, dim)), 1, sample[:ANCHORS], sample_ids[:ANCHORS])
+    anchors = min(ANCHORS, max(1, ANCHOR_BYTES // (8 * dim)))
+    index = Index(longest, rotation, np.zeros((1, dim)), np.zeros((1, dim)), 1, sample[:anchors], sample_ids[:anchors])
     x = index.lift(sample)
-    lists = int(np.clip(round(np.sqrt(rows)), 1, min(4096, max(1, len(sample) // 16))))
-    index.centroids = _kmeans(x, lists, rng)
-    near = _distances(x, index.centroids).argmin(1)
+    most = max(1, len(sample) // 16)
+    cells = min(most, max(1, round(rows**0.25)))
+    index.coarse = _kmeans(x, cells, rng)
+    rest = x - index.coarse[_distances(x, index.coarse).argmin(1)]
+    index.fine = _kmeans(rest, min(most, max(1, round(rows**0.5 / cells))), rng)
+    near = index.place(x)
     test = np.arange(len(x))[:: max(1, len(x) // 256)][:256]
     q = index.lift_query(sample[test])
-    scores = sample[test] @ sample.T
-    scores[np.arange(len(test)), test] = -np.inf
-    top = np.argsort(-scores, axis=1)[:, : min(k, max(1, len(x) - 1))]
-    rank = np.argsort(np.argsort(_distances(q, index.centroids), axis=1), axis=1)
-    need = np.sort(np.take_along_axis(rank, near[top], 1).ravel())
+    got = sample[test] @ sample.T
+    got[np.arange(len(test)), test] = -np.inf
+    top = np.argsort(-got, axis=1)[:, : min(k, max(1, len(x) - 1))]
+    need = []
+    for i, row in enumerate(q):  # one query at a time, as lists may be many
+        rank = np.empty(len(index.coarse) * len(index.fine), np.int64)
+        rank[np.argsort(index.far(row[None])[0], kind="stable")] = np.arange(len(rank))
+        need.append(rank[near[top[i]]])
+    need = np.sort(np.concatenate(need))
     index.probes = int(need[min(len(need) - 1, int(np.ceil(RECALL * len(need))))]) + 1
     return index
 
 
-def _scan(index: Index, k: int, queries: pa.Table, rows: pa.Table) -> tuple[list, list, list]:
-    """The k best rows of one block for each query: (query_id, vec_id, score) lists."""
-    q, x = matrix(queries.column("vec")), matrix(rows.column("vec"))
-    qid, xid = queries.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
-    floor = queries.column("floor").to_numpy()
-    lq, lx = index.lift_query(q), np.ascontiguousarray(index.lift(x))
-    dim = lx.shape[1]
-    edges = [0]
-    for w in BLOCK_DIMS:
-        if edges[-1] + w < dim:
-            edges.append(edges[-1] + w)
-    edges.append(dim)
-    blocks = [np.ascontiguousarray(lx[:, a:b]) for a, b in zip(edges, edges[1:])]
-    squares = [(b * b).sum(1) for b in blocks]
-    first = _distances(lq[:, : edges[1]], blocks[0])
-    out_q, out_x, out_s = [], [], []
-    for i in range(len(q)):
-        # Distance that a row must stay within: |q|^2 + longest - 2 * (k-th best score known).
-        r2 = float(q[i] @ q[i]) + index.longest - 2 * floor[i]
-        partial = first[i]
-        alive = np.arange(len(x))
-        for n, (a, b) in enumerate(zip(edges, edges[1:])):
-            if n:
-                part = lq[i, a:b]
-                partial = partial + squares[n][alive] - 2 * (blocks[n][alive] @ part) + part @ part
-            limit = r2 * (1 + EPSILON / np.sqrt(b)) ** 2 * b / dim if b < dim else r2 + 1e-9 * (1 + abs(r2))
-            keep = partial <= limit
-            alive, partial = alive[keep], partial[keep]
-            if not len(alive):
-                break
-        alive = alive[xid[alive] != qid[i]]
-        if len(alive):
-            s = np.array([float(np.dot(x[j], q[i])) for j in alive]) if len(alive) <= 4 else x[alive] @ q[i]
-            best = np.lexsort((xid[alive], -s))
-            best = best[np.sort(np.unique(xid[alive][best], return_index=True)[1])][:k]  # a repeated id once
-            out_q += [qid[i]] * len(best)
-            out_x += xid[alive][best].tolist()
-            out_s += s[best].tolist()
-    return out_q, out_x, out_s
+def _best(i: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int, repeats: bool) -> np.ndarray:
+    """Of entries (query i, row id, score), the k best of each query, an id once: positions, by query and rank."""
+    order = np.lexsort((ids, -s, i))
+    a, b = i[order], ids[order]
+    if repeats:  # the best of each id stays
+        by = np.lexsort((np.arange(len(a)), b, a))
+        first = np.ones(len(a), bool)
+        first[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])
+        order = order[np.sort(by[first])]
+        a = i[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    starts = np.flatnonzero(new)
+    rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    return order[rank < k]
+
+
+class _Cell:
+    """Some rows of a cell and the queries that probe it."""
+
+    def __init__(self, index: Index, k: int, queries: pa.Table, rows: pa.Table):
+        self.index, self.k = index, k
+        self.q, self.qid = matrix(queries.column("vec")), queries.column("vec_id").to_numpy()
+        lists = rows.column("list").to_numpy()
+        by = np.argsort(lists, kind="stable")
+        self.x, self.xid = matrix(rows.column("vec"))[by], rows.column("vec_id").to_numpy()[by]
+        self.repeats = len(np.unique(self.xid)) < len(self.xid)
+        self.here, self.starts = np.unique(lists[by], return_index=True)
+        self.starts = np.append(self.starts, len(by))
+        self.lq, self.lx = index.lift_query(self.q), np.ascontiguousarray(index.lift(self.x))
+        dim = self.lx.shape[1]
+        self.edges = [0]
+        for w in BLOCK_DIMS:
+            if self.edges[-1] + w < dim:
+                self.edges.append(self.edges[-1] + w)
+        self.edges.append(dim)
+        # Squared distance that a row must stay within: |q|^2 + longest - 2 * (k-th best score known).
+        self.first = queries.column("floor").to_numpy()
+        self.floor = self.first.copy()
+        self.reach = (self.lq * self.lq).sum(1) + index.longest
+        self.found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, row's id, score
+
+    def scan(self, asked: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best rows of each query: its id, theirs, scores.  `asked`: each query's lists, nearest first."""
+        sizes = np.diff(asked.offsets.to_numpy())
+        flat = asked.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        for part in (nth == 0, nth > 0):  # nearest lists first, then list by list
+            by = np.argsort(flat[part], kind="stable")
+            which, who = flat[part][by], owner[part][by]
+            at = np.searchsorted(which, self.here), np.searchsorted(which, self.here, "right")
+            for n, (a, b) in enumerate(zip(*at)):
+                lo, hi = self.starts[n], self.starts[n + 1]
+                step = max(1, PAIRS // (hi - lo))
+                for i in range(a, b, step):
+                    self._list(who[i : min(i + step, b)], lo, hi)
+        i, ids, s = self.found
+        use = s >= self.first[i]
+        return self.qid[i[use]], ids[use], s[use]
+
+    def _limit(self, i: np.ndarray, d: int) -> np.ndarray:
+        r2 = self.reach[i] - 2 * self.floor[i]
+        dim = self.edges[-1]
+        return r2 * (1 + EPSILON / np.sqrt(d)) ** 2 * d / dim if d < dim else r2 + 1e-9 * (1 + np.abs(r2))
+
+    def _list(self, who: np.ndarray, lo: int, hi: int) -> None:
+        w = self.edges[1]
+        partial = _distances(self.lq[who, :w], self.lx[lo:hi, :w])
+        i, j = np.nonzero(partial <= self._limit(who, w)[:, None])
+        partial = partial[i, j]
+        i, j = who[i], j + lo
+        for a, b in zip(self.edges[1:], self.edges[2:]):
+            d = self.lx[j, a:b] - self.lq[i, a:b]
+            partial = partial + np.einsum("ij,ij->i", d, d)
+            keep = partial <= self._limit(i, b)
+            i, j, partial = i[keep], j[keep], partial[keep]
+        own = self.xid[j] == self.qid[i]
+        i, j = i[~own], j[~own]
+        s = scores(self.x[j], self.q[i])
+        use = s >= self.floor[i]
+        if not use.any():
+            return
+        i, ids, s = i[use], self.xid[j[use]], s[use]
+        touched = np.zeros(len(self.q), bool)
+        touched[i] = True
+        old = touched[self.found[0]]
+        i, ids, s = (np.concatenate([v[old], new]) for v, new in zip(self.found, (i, ids, s)))
+        best = _best(i, ids, s, self.k, self.repeats)
+        i, ids, s = i[best], ids[best], s[best]
+        last = np.append(np.flatnonzero(i[1:] != i[:-1]), len(i) - 1)
+        full = np.diff(np.concatenate([[-1], last])) == self.k
+        self.floor[i[last[full]]] = np.maximum(self.floor[i[last[full]]], s[last[full]])
+        self.found = [np.concatenate([v[~old], new]) for v, new in zip(self.found, (i, ids, s))]
 
 
 def search(
@@ -142,21 +229,35 @@ def search(
     or hold null or non-finite numbers take no part, nor do rows without id;
     a query id that repeats is asked once, with the smallest of its vectors;
     a candidate id that repeats is found once, with its best score; equal scores
-    go by id.  Other columns are not read.
+    go by id.  Other columns are not read.  An empty table gives no row.  One
+    line per length of vectors, and one per list, come to the driver.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(usable_vector(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
+    src = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("vec_id"),
-        F.col(vec_col).cast("array<double>").alias("vec"),
+        vector_column(vectors, vec_col).alias("vec"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    rows = materialize(rows.withColumn("dim", F.size("vec")), "vectors")
+    kind = src.schema["vec"].dataType.simpleString()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(good_vectors(b.column("vec"))))
+            if not b.num_rows:
+                continue
+            size = np.diff(b.column("vec").offsets.to_numpy())
+            flat = np.asarray(b.column("vec").flatten().to_numpy(zero_copy_only=False), np.float64)
+            norm = np.add.reduceat(flat * flat, np.cumsum(size) - size)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(size.astype(np.int32)), pa.array(norm)], names=[*b.schema.names, "dim", "norm"]
+            )
+
+    rows = materialize(
+        src.mapInArrow(measure, f"vec_id long, vec {kind}, asks boolean, dim int, norm double"), "vectors"
+    )
     found = [
-        _search_dim(rows.where(F.col("dim") == r.dim), r.n, float(r.longest), k)
-        for r in rows.groupBy("dim").agg(
-            F.count("*").alias("n"),
-            F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("longest"),
-        ).collect()
+        _search_dim(rows.where(F.col("dim") == r.dim), r.dim, r.n, float(r.longest), k)
+        for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
     ]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -169,87 +270,115 @@ def search(
     )
 
 
-def _search_dim(rows: DataFrame, n: int, longest: float, k: int) -> DataFrame:
+def _sample(rows: DataFrame, dim: int, n: int) -> pa.Table:
+    """A bounded sample by hash of the id: most rows are dropped where they are read."""
+    want = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * (dim + 1))))
+    h = F.xxhash64("vec_id")
+    if n > 2 * want:
+        part = int(2**40 * min(1.0, 1.5 * want / n))
+        rows = rows.where(F.pmod(h, F.lit(2**40)) < part)
+    return rows.orderBy(h, "vec_id", "vec").limit(want).select("vec_id", "vec").toArrow()
+
+
+def _search_dim(rows: DataFrame, dim: int, n: int, longest: float, k: int) -> DataFrame:
     spark = rows.sparkSession
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(SAMPLE).select("vec_id", "vec").toArrow()
+    got = _sample(rows, dim, n)
     index = fit(got.column("vec_id").to_numpy(), matrix(got.column("vec")), n, longest, k)
+    kind = rows.schema["vec"].dataType.simpleString()
+    per_cell = len(index.fine)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                near = _distances(index.lift(matrix(b.column("vec"))), index.centroids).argmin(1)
+                near = index.place(index.lift(matrix(b.column("vec"))))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("vec_id"), b.column("vec"), pa.array(near.astype(np.int32))], names=["vec_id", "vec", "list"]
                 )
 
-    listed = materialize(
-        rows.select("vec_id", "vec").mapInArrow(assign, "vec_id long, vec array<double>, list int"), "lists"
-    )
+    listed = materialize(rows.select("vec_id", "vec").mapInArrow(assign, f"vec_id long, vec {kind}, list int"), "lists")
     size = {r.list: r.n for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    sizes = np.array([size.get(i, 0) for i in range(len(index.centroids))])
+    sizes = np.array([size.get(i, 0) for i in range(len(index.coarse) * per_cell)])
+    filled = np.flatnonzero(sizes)
 
     by_id = np.argsort(index.anchor_ids, kind="stable")
-    anchor_ids, starts = np.unique(index.anchor_ids[by_id], return_index=True)
+    anchor_ids, anchors = index.anchor_ids[by_id], index.anchors[by_id]
+    repeated = len(np.unique(anchor_ids)) < len(anchor_ids)
+
+    def meet_anchors(q: np.ndarray, own: int, rough: np.ndarray):
+        """The k best anchors of one query by exact scores: ids and scores."""
+        rough = np.where(anchor_ids == own, -np.inf, rough)
+        some = np.arange(len(rough))
+        if not repeated and len(rough) > k:
+            cut = np.partition(rough, -k)[-k]
+            some = np.flatnonzero(rough >= cut - 1e-9 * (1 + abs(cut)) if cut > -np.inf else rough > -np.inf)
+        some = some[rough[some] > -np.inf]
+        s = scores(anchors[some], q[None])
+        best = _best(np.zeros(len(some), np.int64), anchor_ids[some], s, k, repeated)
+        return anchor_ids[some][best], s[best]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            q = matrix(b.column("vec"))
-            ids = b.column("vec_id").to_numpy()
-            score = np.maximum.reduceat((q @ index.anchors.T)[:, by_id], starts, axis=1)  # a repeated id counts once
-            score[ids[:, None] == anchor_ids[None, :]] = -np.inf
-            near = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(score, near, 1)
-            floor = best[:, -1] if best.shape[1] == k else np.full(len(q), -np.inf)
-            valid = best > -np.inf
-            met = [anchor_ids[r[v]] for r, v in zip(near, valid)]
-            met_score = [r[v] for r, v in zip(best, valid)]
-            order = np.argsort(_distances(index.lift_query(q), index.centroids), axis=1, kind="stable")
-            enough = (np.cumsum(sizes[order], axis=1) < 10 * k + 1).sum(1) + 1
-            probes = np.minimum(np.maximum(index.probes, enough), len(sizes))
-            lists = [o[:p].astype(np.int32) for o, p in zip(order, probes)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("vec_id"), b.column("vec"), pa.array(np.maximum(floor, -1e300)),
-                    pa.array(lists, pa.list_(pa.int32())), pa.array(met, pa.list_(pa.int64())),
-                    pa.array(met_score, pa.list_(pa.float64())),
-                ],
-                names=["vec_id", "vec", "floor", "lists", "met", "met_score"],
-            )
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                q, ids = matrix(part.column("vec")), part.column("vec_id").to_numpy()
+                met = [meet_anchors(v, i, r) for v, i, r in zip(q, ids, q @ anchors.T)]
+                out: dict[str, list] = {"row": [], "cell": [], "lists": []}
+                for n, row in enumerate(index.lift_query(q)):
+                    order = filled[np.argsort(index.far(row[None])[0][filled], kind="stable")]
+                    enough = int((np.cumsum(sizes[order]) < 10 * k + 1).sum()) + 1
+                    lists = order[: max(index.probes, enough)]
+                    cells = lists // per_cell
+                    by = np.argsort(cells, kind="stable")
+                    cuts = np.flatnonzero(np.diff(cells[by])) + 1
+                    groups = np.split(lists[by], cuts)
+                    out["row"] += [n] * len(groups)
+                    out["cell"] += [int(g[0] // per_cell) for g in groups]
+                    out["lists"] += [g.astype(np.int32) for g in groups]
+                at = np.array(out["row"])
+                floor = np.array([m[1][-1] if len(m[1]) == k else -1e300 for m in met])
+                first = np.concatenate([[True], at[1:] != at[:-1]])  # the anchors are told once
+                none = np.zeros(0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[at]), part.column("vec").take(pa.array(at)), pa.array(floor[at]),
+                        pa.array(np.array(out["cell"], np.int32)), pa.array(out["lists"], pa.list_(pa.int32())),
+                        pa.array([met[i][0] if f else none for i, f in zip(at, first)], pa.list_(pa.int64())),
+                        pa.array([met[i][1] if f else none for i, f in zip(at, first)], pa.list_(pa.float64())),
+                    ],
+                    names=["vec_id", "vec", "floor", "cell", "lists", "met", "met_score"],
+                )
 
     queries = rows.where("asks").groupBy("vec_id").agg(F.min("vec").alias("vec")).mapInArrow(
-        ask, "vec_id long, vec array<double>, floor double, lists array<int>, met array<long>, met_score array<double>"
+        ask, f"vec_id long, vec {kind}, floor double, cell int, lists array<int>, met array<long>, met_score array<double>"
     )
     queries = materialize(queries, "queries")
-    per = queries.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("nq"))
-    asked = {r.list: r.nq for r in per.collect()}
+    asked = {r.cell: r.nq for r in queries.groupBy("cell").agg(F.count("*").alias("nq")).collect()}
+    cell_size = sizes.reshape(-1, per_cell).sum(1)
     cut = spark.createDataFrame(
-        [(i, -(-int(sizes[i]) // ROWS), -(-nq // QUERIES)) for i, nq in sorted(asked.items()) if sizes[i]] or [(-1, 1, 1)],
-        "list int, parts int, rounds int",
-    )  # one row per list, at most 4096
+        [(i, -(-int(cell_size[i]) // ROWS), -(-nq // QUERIES)) for i, nq in sorted(asked.items())] or [(-1, 1, 1)],
+        "cell int, parts int, rounds int",
+    )  # one row per cell
     parts = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     rounds = F.pmod(F.xxhash64("vec_id"), F.col("rounds")).cast("int")
-    data = listed.join(F.broadcast(cut), "list").select(
-        "list", parts.alias("part"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"),
-        F.lit(1).alias("kind"), "vec_id", "vec", F.lit(0.0).alias("floor"),
+    none = F.array().cast("array<int>")
+    data = listed.withColumn("cell", F.expr(f"list div {per_cell}").cast("int")).join(F.broadcast(cut), "cell").select(
+        "cell", parts.alias("part"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"),
+        F.lit(1).alias("kind"), "vec_id", "vec", F.lit(0.0).alias("floor"), "list", none.alias("lists"),
     )
-    questions = queries.withColumn("list", F.explode("lists")).join(F.broadcast(cut), "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), rounds.alias("round"),
-        F.lit(0).alias("kind"), "vec_id", "vec", "floor",
+    questions = queries.join(F.broadcast(cut), "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), rounds.alias("round"),
+        F.lit(0).alias("kind"), "vec_id", "vec", "floor", F.lit(0).alias("list"), "lists",
     )
-    group = ["list", "part", "round"]
-    stream = data.unionByName(questions).repartition(*group).sortWithinPartitions(*group, "kind", "vec_id")
+    group = ["cell", "part", "round"]
+    stream = data.unionByName(questions).repartition(*group).sortWithinPartitions(*group, "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, group):
             asks = int((t.column("kind").to_numpy() == 0).sum())
             if asks and asks < len(t):
-                a, b, c = _scan(index, k, t.slice(0, asks), t.slice(asks))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())],
-                    names=["query_id", "vec_id", "score"],
-                )
+                ask, have = t.slice(0, asks).combine_chunks(), t.slice(asks)
+                a, b, c = _Cell(index, k, ask, have).scan(ask.column("lists").chunk(0))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "vec_id", "score"])
 
     # The anchors are rows like others, so the first threshold comes with the rows that set it.
     met = queries.select(
