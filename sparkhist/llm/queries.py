@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkhist.llm import ann, embedding_dedup, infinigram, line_dedup, mixing, packing, quality, simhash, tokens, toxicity
 
@@ -63,6 +64,62 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `op5_mixing` aims at: size of every document, its source's size and target.  SQL can state these."""
+    return op5_mixing(spark, sf_dir).drop("taken").withColumn("target", F.round("target", 4))
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `op8_lm_scoring` counts: tokens, known ones and the unigram score.  SQL can state these."""
+    return op8_lm_scoring(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
+MIX_TARGETS_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+      [3.0::DOUBLE, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+-- Sources reach their limit in the order of limit by weight; one does if its share of what the earlier ones leave exceeds it.
+c AS (SELECT *, 1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER before, 0) AS rest,
+      sum(w) OVER from_here AS weights FROM s
+      WINDOW before AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+      from_here AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT *, w * rest / weights > 2.0 * source_size AS capped FROM c),
+t AS (SELECT source, source_size, CASE WHEN capped THEN 2.0 * source_size ELSE
+      w * max(CASE WHEN NOT capped THEN rest / weights END) OVER () END AS target FROM f)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(CAST(target AS DOUBLE), 4) AS target
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+_CRC = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, list_extract({_crc_table()}, CAST((xor(c, b) & 255) + 1 AS INTEGER)))))"""
+
+LM_BASE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce({_CRC} % 7 = 2, false) AS held_out,
+      list_append(regexp_extract_all(translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '{_WORD}'), ' end') AS words
+      FROM documents),
+w AS (SELECT row, held_out, unnest(words) AS word FROM d),
+u AS (SELECT word, count(*) AS c FROM w WHERE NOT held_out GROUP BY word),
+n AS (SELECT coalesce(sum(c), 0) AS total, count(*) AS distinct_words FROM u)
+SELECT any_value(d.doc_id) AS doc_id, any_value(d.held_out) AS held_out, count(*) AS n_tokens, count(u.c) AS n_known,
+  CAST(any_value(total) AS BIGINT) AS train_tokens,
+  round(sum(log10((coalesce(u.c, 0) + 1) / CAST(total + distinct_words + 1 AS DOUBLE))), 4) AS base_score
+FROM w JOIN d USING (row) CROSS JOIN n LEFT JOIN u USING (word) GROUP BY row
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -75,8 +132,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_quality": op9_quality,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "mix_targets": mix_targets,
+        "lm_base": lm_base,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "mix_targets": MIX_TARGETS_SQL, "lm_base": LM_BASE_SQL}
