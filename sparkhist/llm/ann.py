@@ -39,8 +39,8 @@ ROWS, QUERIES = 4_096, 4_096
 RECALL = 0.98
 EPSILON = 2.1
 BLOCK_DIMS = (16, 16, 32)
-#: Pairs of a query and a row that are held at once.
-PAIRS = 1 << 19
+#: Pairs of a query and a row that are held at once; the share of them below which they are followed one by one.
+PAIRS, DENSE = 1 << 19, 0.03
 
 
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -190,12 +190,18 @@ class _Cell:
         return r2 * (1 + EPSILON / np.sqrt(d)) ** 2 * d / dim if d < dim else r2 + 1e-9 * (1 + np.abs(r2))
 
     def _list(self, who: np.ndarray, lo: int, hi: int) -> None:
-        w = self.edges[1]
-        partial = _distances(self.lq[who, :w], self.lx[lo:hi, :w])
-        i, j = np.nonzero(partial <= self._limit(who, w)[:, None])
-        partial = partial[i, j]
-        i, j = who[i], j + lo
-        for a, b in zip(self.edges[1:], self.edges[2:]):
+        # Block by block for whole tiles as long as many pairs are left, then for those that are.
+        i = None
+        for a, b in zip(self.edges, self.edges[1:]):
+            if i is None:
+                d = _distances(self.lq[who, a:b], self.lx[lo:hi, a:b])
+                tile = d if not a else np.add(tile, d, out=tile)
+                keep = tile <= self._limit(who, b)[:, None]
+                if np.count_nonzero(keep) < DENSE * keep.size or b == self.edges[-1]:
+                    i, j = np.nonzero(keep)
+                    partial = tile[i, j]
+                    i, j = who[i], j + lo
+                continue
             d = self.lx[j, a:b] - self.lq[i, a:b]
             partial = partial + np.einsum("ij,ij->i", d, d)
             keep = partial <= self._limit(i, b)
