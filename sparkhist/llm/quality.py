@@ -26,6 +26,8 @@ from sparkhist.llm._common import crc_mod, materialize, one_text_each, sliced
 #: Rated rows to learn from, at most.
 SAMPLE = 6_000
 DIMS = 1 << 18
+#: Tokens whose feature a worker remembers before it starts afresh.
+CACHE = 200_000
 #: Documents whose tail probability reaches this are kept.
 KEEP = 0.35
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
@@ -40,7 +42,7 @@ def capitals(text: str) -> int:
 
 
 def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of the hashed features of a whole text: words and traits of its shape."""
+    """Indices, which may repeat, and values of the hashed features of a whole text: words and traits of its shape."""
     text = text or ""
     counts = Counter(TOKEN.findall(text.lower()))
     n = sum(counts.values())
@@ -59,13 +61,22 @@ def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         f"#length{level(len(text) / max(1, len(words)))}",
         f"#upper{share(capitals(text) / max(1, len(text)))}",
     ]
-    norm = np.sqrt(sum(np.log1p(c) ** 2 for c in counts.values())) or 1.0
-    feats: Counter = Counter()
-    for t, c in counts.items():
-        feats[crc32(t.encode()) % DIMS] += np.log1p(c) / norm
-    for t in traits:
-        feats[crc32(t.encode()) % DIMS] += 0.5
-    return np.fromiter(feats.keys(), np.int64, len(feats)), np.fromiter(feats.values(), np.float64, len(feats))
+    value = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
+    value = np.concatenate([value / (np.sqrt((value * value).sum()) or 1.0), np.full(len(traits), 0.5)])
+    return np.fromiter(map(_index, [*counts, *traits]), np.int64, len(value)), value
+
+
+_known: dict[str, int] = {}
+
+
+def _index(token: str) -> int:
+    """The feature of a token or trait; kept for those met before."""
+    i = _known.get(token)
+    if i is None:
+        if len(_known) >= CACHE:
+            _known.clear()
+        i = _known[token] = crc32(token.encode()) % DIMS
+    return i
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
