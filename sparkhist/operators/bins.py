@@ -44,9 +44,11 @@ def bins_view(hist: DataFrame, layout: Layout, keys: Sequence[str] = ()) -> Data
         F.first("bin_min").over(whole).alias("min_value"),
         F.last("bin_max").over(whole).alias("max_value"),
     )
-    v = v.withColumn("greater_count", F.col("total_count") - F.col("less_count") - F.col("bin_count"))
     lower, upper = bounds_columns(layout, "bin_index")
-    v = v.withColumns({"lower_bound": F.greatest("min_value", lower), "upper_bound": F.least("max_value", upper)})
+    v = v.withColumns({
+        "lower_bound": F.greatest("min_value", lower), "upper_bound": F.least("max_value", upper),
+        "greater_count": F.expr("total_count - less_count - bin_count"),
+    })
     return v.select(
         *keys, "bin_index", "bin_count", "less_count", "greater_count", "lower_bound", "upper_bound",
         F.when(F.col("upper_bound") == F.col("lower_bound"), F.lit(0.0))

@@ -27,18 +27,19 @@ BIN_COLUMNS = ["bin_index", "bin_count", "bin_min", "bin_max"]
 PACKED = "struct<total_count:bigint,min:double,max:double,bins:array<struct<bin_index:int,bin_count:bigint>>>"
 
 
-def _min_of(lo: str, negative: Column) -> Column:
-    """The minimum, -0.0 if that is among zeros: Spark's own keeps any of the two.
+def least_of(x: str) -> Column:
+    """The minimum of a double column, -0.0 if that is among zeros: Spark's own keeps any of the two.
 
     The sign comes from a product, as the optimizer takes 0.0 and -0.0 for one constant.
     """
-    sign = F.when(F.bool_or(negative), F.lit(-1.0)).otherwise(F.lit(1.0))
-    return F.when(F.min(lo) == 0, F.abs(F.min(lo)) * sign).otherwise(F.min(lo))
+    sign = f"CASE WHEN bool_or({x} = 0D AND string({x}) = '-0.0') THEN -1D ELSE 1D END"
+    return F.expr(f"CASE WHEN min({x}) = 0D THEN abs(min({x})) * {sign} ELSE min({x}) END")
 
 
-def _max_of(hi: str, positive: Column) -> Column:
-    sign = F.when(F.bool_or(positive), F.lit(1.0)).otherwise(F.lit(-1.0))
-    return F.when(F.max(hi) == 0, F.abs(F.max(hi)) * sign).otherwise(F.max(hi))
+def most_of(x: str) -> Column:
+    """The maximum, 0.0 if that is among zeros."""
+    sign = f"CASE WHEN bool_or({x} = 0D AND string({x}) != '-0.0') THEN 1D ELSE -1D END"
+    return F.expr(f"CASE WHEN max({x}) = 0D THEN abs(max({x})) * {sign} ELSE max({x}) END")
 
 
 def record(
@@ -52,15 +53,11 @@ def record(
     """
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     rows = df.select(*keys, x.alias("_x"), *([] if weight is None else [_weight(weight).alias("_w")]))
-    rows = rows.where(F.col("_x").isNotNull())
-    if weight is not None:
-        rows = rows.where(F.col("_w") > 0)
-    rows = rows.withColumn("bin_index", layout.column("_x"))
-    zero = fb.negative_zero(F.col("_x"))
-    return rows.groupBy(*keys, "bin_index").agg(
-        (F.count(F.lit(1)) if weight is None else F.sum("_w")).alias("bin_count"),
-        _min_of("_x", zero).alias("bin_min"),
-        _max_of("_x", (F.col("_x") == 0) & ~zero).alias("bin_max"),
+    rows = rows.where("_x IS NOT NULL" if weight is None else "_x IS NOT NULL AND _w > 0")
+    return rows.groupBy(*keys, layout.column("_x").alias("bin_index")).agg(
+        F.expr("count(1)" if weight is None else "sum(_w)").alias("bin_count"),
+        least_of("_x").alias("bin_min"),
+        most_of("_x").alias("bin_max"),
     )
 
 
@@ -85,8 +82,8 @@ def merge(*histograms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         both = both.unionByName(h.select(*cols))
     return both.groupBy(*keys, "bin_index").agg(
         F.sum("bin_count").alias("bin_count"),
-        _min_of("bin_min", fb.negative_zero(F.col("bin_min"))).alias("bin_min"),
-        _max_of("bin_max", (F.col("bin_max") == 0) & ~fb.negative_zero(F.col("bin_max"))).alias("bin_max"),
+        least_of("bin_min").alias("bin_min"),
+        most_of("bin_max").alias("bin_max"),
     )
 
 

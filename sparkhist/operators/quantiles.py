@@ -62,9 +62,9 @@ def quantiles(
         rows = rows.where("size(_ps) > 0").withColumn("p", F.explode("_ps"))
     rows = rows.withColumn("_z", z).withColumn("_r", F.expr("explode(array(bigint(floor(_z)), bigint(floor(_z)) + 1))"))
     rows = rows.where("less_count <= _r AND _r < less_count + bin_count")
-    rows = rows.select(*keys, "p", "_z", "_r", estimate_col(estimator, "_r").alias("_v"))
+    value = estimate_col(estimator, "_r")
     found = rows.groupBy(*keys, "p").agg(
-        F.expr("first(_z) AS _z"), F.expr("min_by(_v, _r) AS _v1"), F.expr("max_by(_v, _r) AS _v2")
+        F.expr("first(_z) AS _z"), F.min_by(value, "_r").alias("_v1"), F.max_by(value, "_r").alias("_v2")
     )
     inner = interpolate_sql("(_z - floor(_z))", "0D", "_v1", "1D", "_v2")
     return found.select(*keys, "p", F.expr(f"CASE WHEN _z = floor(_z) THEN _v1 ELSE {inner} END").alias("value"))

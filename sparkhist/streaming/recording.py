@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkhist.functions import floatbits as fb
-from sparkhist.operators.histogram import _max_of, _min_of, _weight, merge
+from sparkhist.operators.histogram import _weight, least_of, merge, most_of
 from sparkhist.plans.layouts import Layout
 
 
@@ -44,9 +44,7 @@ def record_windows(
     if late:
         rows = rows.withWatermark("_t", late)
     n = F.sum("_w") if weight else F.count(F.lit(1))
-    zero = fb.negative_zero(F.col("_x"))
-    least, most = _min_of("_x", zero), _max_of("_x", (F.col("_x") == 0) & ~zero)
-    totals = [n.alias("bin_count"), least.alias("bin_min"), most.alias("bin_max")]
+    totals = [n.alias("bin_count"), least_of("_x").alias("bin_min"), most_of("_x").alias("bin_max")]
     names = ["window_start", "window_end", *keys, "bin_index", "bin_count", "bin_min", "bin_max"]
     if session:
         binned = rows.where("_t IS NOT NULL").withColumn("bin_index", layout.column("_x"))
