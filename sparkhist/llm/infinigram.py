@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ END = b" end"
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Elements handled at once where that saves memory.
 STEP = 1 << 20
+#: Matches from this length on are confirmed by a second hash: repetitive texts can collide by the first one
+#: from about a thousand tokens on.
+SURE = 256
 #: Intervals up to this size are counted entry by entry.
 FEW = 8
 
@@ -150,9 +154,15 @@ class Shard:
         odd = np.arange(1, extra + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         table = np.concatenate([np.zeros(1, np.uint64), self.vocabulary, odd])
         self.prefix = prefix_hashes(self.tokens, table)
-        self.second = prime_hashes(self.tokens, table)
         return self
 
+    @cached_property
+    def second(self) -> np.ndarray:
+        """Prefix hashes modulo the prime; separators, which no match runs across, count nothing."""
+        table = np.zeros(int(self.tokens.max()) + 1, np.uint64)
+        table[1 : len(self.vocabulary) + 1] = self.vocabulary
+        return prime_hashes(self.tokens, table)
+
 
 def _powers(n: int, first: np.uint64) -> np.ndarray:
     out = np.ones(n, np.uint64)
@@ -224,12 +234,15 @@ class Texts:
         del rest
         token = self.rest > 0
         self.prefix = prefix_hashes(flat)
-        self.second = prime_hashes(flat)
         self.words, inverse = np.unique(flat[token], return_inverse=True)
         self.word_of = np.full(len(flat), -1, np.int32)
         self.word_of[token] = inverse
         self.unigrams = np.zeros(len(self.words), np.int64)
 
+    @cached_property
+    def second(self) -> np.ndarray:
+        return prime_hashes(self.word_of, np.append(self.words, np.uint64(0)))  # -1, a separator, is the last
+
     def meet(self, s: Shard) -> None:
         """Number the words as the shard does and add up its counts of them."""
         pos = np.searchsorted(s.vocabulary, self.words)
@@ -259,7 +272,9 @@ class Texts:
         most = np.minimum(most, len(s.tokens) - b)
         out = self._common(s, a, b, most, False)
         # If any comparison on the way was wrong, what was found isn't equal by the second hash either.
-        wrong = np.flatnonzero(~self._same(s, a, b, out))
+        wrong = np.flatnonzero(out >= SURE)
+        if len(wrong):
+            wrong = wrong[~self._same(s, a[wrong], b[wrong], out[wrong])]
         if len(wrong):
             out[wrong] = self._common(s, a[wrong], b[wrong], most[wrong], True)
         return out
