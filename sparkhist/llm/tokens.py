@@ -22,6 +22,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -125,7 +126,8 @@ class PrefixCounter:
         self.begins = {t[:i] for t in self.ranks for i in range(1, len(t) + 1)}
         self.split = regex.compile(PATTERN)
         self.tables: dict[str, list[int] | bytes] = {}
-        self.words: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes | bool] = {}
+        self.pieces: dict[str, bytes | bool] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def _valid(self, a: bytes, b: bytes) -> bool:
@@ -166,16 +168,36 @@ class PrefixCounter:
         out = self.tables[piece] = bytes(count[1:])
         return out
 
-    def _word(self, word: str) -> bytes | None:
-        """`steps` of what stands between two single spaces as signed bytes, kept by its text; None if one doesn't fit."""
-        known = self.words.get(word, False)
-        if known is False:
-            step = np.diff(self.prefix_counts(word))
-            known = step.astype(np.int8).tobytes() if (np.abs(step) < 128).all() else None
-            if len(word) <= LONGEST_KEY:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[word] = known
+    def _piece(self, piece: str) -> bytes | bool:
+        """Differences of the counts at the prefixes of one pre-token, as signed bytes; False if one doesn't fit."""
+        known = self.pieces.get(piece)
+        if known is None:
+            counts = self._counts(piece)
+            steps = [counts[0], *map(sub, counts[1:], counts)]
+            known = max(steps) < 128 and min(steps) >= -128 and array("b", steps).tobytes()
+            if len(piece) <= LONGEST_KEY:
+                if len(self.pieces) >= CACHE:
+                    self.pieces.clear()
+                self.pieces[piece] = known
+        return known
+
+    def _counts(self, piece: str) -> list[int] | bytes:
+        """`table`, but for prefixes of a contraction, which are two pre-tokens until it is complete."""
+        counts = self.table(piece)
+        if len(piece) > 2 and piece[0] == "'" and piece[1:].isalpha():
+            counts = list(counts)
+            for i in range(2, len(piece)):
+                counts[i - 1] = sum(self.table(x)[-1] for x in self.split.findall(piece[:i]))
+        return counts
+
+    def _word(self, word: str) -> bytes | bool:
+        """`steps` of what stands between two single spaces as signed bytes, kept by its text; False if one doesn't fit."""
+        parts = [self._piece(p) for p in self.split.findall(word)]
+        known = b"".join(parts) if all(parts) else not parts and b""
+        if len(word) <= LONGEST_KEY:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            self.words[word] = known
         return known
 
     def steps(self, text: str) -> np.ndarray:
@@ -186,9 +208,12 @@ class PrefixCounter:
         ):
             # A single space between other characters starts a pre-token, so words count apart.
             first, *rest = text.split(" ")
-            words = [self._word(first), *map(self._word, map(" ".__add__, rest))]
-            if None not in words:
-                return np.frombuffer(b"".join(words), np.int8)
+            words = [first, *map(" ".__add__, rest)]
+            known = list(map(self.words.get, words))
+            if None in known:
+                known = [self._word(w) if k is None else k for w, k in zip(words, known)]
+            if False not in known:
+                return np.frombuffer(b"".join(known), np.int8)
         return np.diff(self.prefix_counts(text))
 
     def _parts(self, text: str) -> list[str]:
@@ -225,7 +250,7 @@ class PrefixCounter:
             pieces = self.split.findall(part)
             tail = pieces[-2:]
             for piece in pieces:
-                counts = self.table(piece)
+                counts = self._counts(piece)
                 at = [base + c for c in counts]
                 head = len(piece[0].encode())
                 if before and before.isspace() and piece[0].isspace():
@@ -233,10 +258,6 @@ class PrefixCounter:
                     run = self.table(before + piece[0])
                     start = base - self.table(before)[-1]
                     at[:head] = [start + c for c in run[-head:]]
-                if len(piece) > 1 and piece[0] == "'" and piece[1:].isalpha():
-                    # "'r" of "'re" is two pre-tokens until the contraction is complete.
-                    for i in range(2, len(piece)):
-                        at[i - 1] = base + sum(self.table(x)[-1] for x in self.split.findall(piece[:i]))
                 out.extend(at)
                 base += counts[-1]
                 before = piece
