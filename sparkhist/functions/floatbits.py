@@ -6,9 +6,6 @@ import math
 import struct
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 INT_MAX = 2**31 - 1
 INT_MIN = -(2**31)
 MIN_NORMAL = 2.2250738585072014e-308
@@ -115,7 +112,3 @@ def exponent(u: str) -> str:
 def negative(x: str) -> str:
     """The sign bit of a double, in SQL."""
     return f"({x} < 0D OR ({x} = 0D AND string({x}) = '-0.0'))"
-
-
-def negative_zero(x: Column) -> Column:
-    return (x == 0) & (x.cast("string") == "-0.0")
