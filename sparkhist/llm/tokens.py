@@ -117,6 +117,22 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[key]
 
 
+class _Known(dict):
+    """Values by text, made when they are first asked for; those of long texts aren't kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str):
+        value = self.make(text)
+        if len(text) <= LONGEST_KEY:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = value
+        return value
+
+
 class PrefixCounter:
     """Token counts at every byte prefix of a text."""
 
@@ -126,8 +142,8 @@ class PrefixCounter:
         self.begins = {t[:i] for t in self.ranks for i in range(1, len(t) + 1)}
         self.split = regex.compile(PATTERN)
         self.tables: dict[str, list[int] | bytes] = {}
-        self.words: dict[str, bytes | bool] = {}
-        self.pieces: dict[str, bytes | bool] = {}
+        self.words = _Known(self._word)
+        self.pieces = _Known(self._piece)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def _valid(self, a: bytes, b: bytes) -> bool:
@@ -170,16 +186,9 @@ class PrefixCounter:
 
     def _piece(self, piece: str) -> bytes | bool:
         """Differences of the counts at the prefixes of one pre-token, as signed bytes; False if one doesn't fit."""
-        known = self.pieces.get(piece)
-        if known is None:
-            counts = self._counts(piece)
-            steps = [counts[0], *map(sub, counts[1:], counts)]
-            known = max(steps) < 128 and min(steps) >= -128 and array("b", steps).tobytes()
-            if len(piece) <= LONGEST_KEY:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
+        counts = self._counts(piece)
+        steps = [counts[0], *map(sub, counts[1:], counts)]
+        return max(steps) < 128 and min(steps) >= -128 and array("b", steps).tobytes()
 
     def _counts(self, piece: str) -> list[int] | bytes:
         """`table`, but for prefixes of a contraction, which are two pre-tokens until it is complete."""
@@ -191,29 +200,22 @@ class PrefixCounter:
         return counts
 
     def _word(self, word: str) -> bytes | bool:
-        """`steps` of what stands between two single spaces as signed bytes, kept by its text; False if one doesn't fit."""
-        parts = [self._piece(p) for p in self.split.findall(word)]
-        known = b"".join(parts) if all(parts) else not parts and b""
-        if len(word) <= LONGEST_KEY:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = known
-        return known
+        """`steps` of what stands between two single spaces as signed bytes; False if one doesn't fit."""
+        parts = list(map(self.pieces.__getitem__, self.split.findall(word)))
+        return b"".join(parts) if all(parts) else not parts and b""
 
     def steps(self, text: str) -> np.ndarray:
         """Differences of `prefix_counts`, one for each byte; their sum is the count of the whole text."""
         if not (
-            self.enc.runs.search(text) or text[:1].isspace() or text[-1:].isspace()
+            self.enc.runs.search(text) or text[:1].isspace() or text[-1:].isspace() or "\0" in text
             or any(s in text for s in self.enc.special)
         ):
             # A single space between other characters starts a pre-token, so words count apart.
-            first, *rest = text.split(" ")
-            words = [first, *map(" ".__add__, rest)]
-            known = list(map(self.words.get, words))
-            if None in known:
-                known = [self._word(w) if k is None else k for w, k in zip(words, known)]
-            if False not in known:
-                return np.frombuffer(b"".join(known), np.int8)
+            words = text.replace(" ", "\0 ").split("\0")
+            try:
+                return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int8)
+            except TypeError:  # a difference that isn't a byte
+                pass
         return np.diff(self.prefix_counts(text))
 
     def _parts(self, text: str) -> list[str]:
