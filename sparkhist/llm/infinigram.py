@@ -12,7 +12,8 @@ a context of that length are summed, and
 with the add-one unigram as base, which sums to one over the vocabulary and
 one unknown word.  Longest matches skip ahead by comparing prefix hashes, so
 copies of long texts cost no more than others (Liu et al., 2024, use suffix
-arrays in this way).
+arrays in this way).  As each text visits each shard, `score` does so for
+one shard only; larger corpora are counted by `grams`, with equal results.
 """
 
 from __future__ import annotations
@@ -573,11 +574,19 @@ def score(
     src = src.withColumn("learned", F.coalesce(trains, F.lit(False)))
     train = src.where("learned").select("text")
     size = train.agg(F.sum(F.octet_length("text") + 1), F.count("*")).first()
-    # Fewer, larger tasks: each reads every shard once for all its texts.
+    # Fewer, larger tasks: each reads the shard, or stores a chunk, once for all its texts.
     pieces = max(1, src.rdd.getNumPartitions()) if size[1] else 1
-    asked = max(1, -(-int(src.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // (6 * batch_tokens)))
-    src = src.coalesce(asked) if asked < pieces else src
     shards = -(-int(size[0] or 0) // shard_bytes) if size[1] else 0
+    task_bytes = (6 if shards <= 1 else 4) * batch_tokens  # chunks, kept in memory whole, stay well below their limit
+    asked = max(1, -(-int(src.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // task_bytes))
+    src = src.coalesce(asked) if asked < pieces else src
+    columns = lambda df, n: df.select(
+        "doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+    if shards > 1:
+        from sparkhist.llm import grams  # which builds on this module
+
+        return columns(*grams.score(src, batch_tokens))
     path, total, distinct = "", 0, 0
     if shards:
         path, total, distinct = _write_shards(train, shards)
@@ -640,9 +649,7 @@ def score(
             yield flush()
 
     scored = src.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(
-        "doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    return columns(scored, total)
 
 
 def lm_digest(docs: DataFrame) -> DataFrame:

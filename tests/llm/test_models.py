@@ -4,13 +4,14 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from weird import documents, lower, texts
 
-from sparkhist.llm import infinigram, quality
+from sparkhist.llm import _common, grams, infinigram, quality
 
 
 def words(text):
@@ -98,6 +99,56 @@ def test_scores_in_spark(spark, shard_bytes):
     assert {r.train_tokens for r in got} == {total}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_scores_by_counted_grams(spark, seed):
+    """Many chunks, counting tasks and shards of passages; copies of passages at all places and of all lengths."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range([3, 12, 300][seed])]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = [make(rng.choice([0, 1, 7, 8, 9, 40])) for _ in range(60)]
+    for _ in range(60):
+        a, b = rng.choice(rows), rng.choice(rows)
+        i, j = sorted(rng.randint(0, len(a)) for _ in range(2))
+        rows.append(rng.choice([a, a[:i] + a[j:], a[i:j] + b, b[: len(b) // 2] + a[i:j] + make(3) + a[i:], a[:j]])[:90])
+    rows += [["a"] * 30, ["a"] * 29, ["b"] + ["a"] * 25, ["n1", "n2"], ["a"] * 30]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    rng.shuffle(rows)
+    want, total, _ = brute([t for i, t in rows if i % 3], [t for _, t in rows])
+    src = documents(spark, rows).select("doc_id", "text", (F.col("doc_id") % 3 != 0).alias("learned")).repartition(3)
+    scored, tokens = grams.score(src, 200, 100)
+    mine = {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in scored.collect()}
+    assert tokens == total and len(mine) == len(rows)
+    for (i, _), w in zip(rows, want):
+        assert mine[i] == pytest.approx(w, abs=1e-9)
+
+
+def test_scores_of_repetitive_texts(spark):
+    """Long runs of a word or a line, and texts built to collide, score as in one shard."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = (" ".join("uv"[b ^ flip] for b in bits) for flip in (0, 1))
+    some = ["a " * 20_000, "a " * 19_000, "x y z\n" * 5000, "b " + "x y z\n" * 6000, "a " * 300 + "b", one]
+    rows = list(enumerate(some * 3 + [two, "v " + two + " v"]))
+    docs, trains = documents(spark, rows), F.col("doc_id") < 8
+    by_id = []
+    for shard_bytes in (10**9, 10_000):
+        got = infinigram.score(docs, trains, shard_bytes=shard_bytes).collect()
+        by_id.append({r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in got})
+    assert len(by_id[0]) == len(by_id[1]) == len(rows)
+    for i, _ in rows:
+        assert by_id[1][i] == pytest.approx(by_id[0][i], rel=1e-9)
+
+
+def test_texts_without_company_visit_no_shard(spark):
+    """Every text visited every shard of the corpus."""
+    folder = Path(_common.shared_dir(spark).removeprefix("file:"))
+    rng = random.Random(0)
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(60))) for i in range(300)]
+    shards = lambda: set(folder.glob("sparkhist-shards-*/shard-*"))
+    before = shards()
+    got = infinigram.score(documents(spark, rows), F.col("doc_id") % 7 != 2, shard_bytes=5000).collect()
+    assert len(got) == 300 and shards() == before
+
+
 def test_scores_of_empty_tables(spark):
     assert infinigram.lm_digest(documents(spark, [])).count() == 0
     nothing = infinigram.score(documents(spark), F.lit(False)).collect()
