@@ -42,19 +42,31 @@ def most_of(x: str) -> Column:
     return F.expr(f"CASE WHEN max({x}) = 0D THEN abs(max({x})) * {sign} ELSE max({x}) END")
 
 
+def binned_as(x: str, signed_zeros: bool) -> str:
+    """What a layout bins for the column: -0.0 by its sign, or else as the 0.0 it equals."""
+    return x if signed_zeros else f"({x} + 0D)"
+
+
 def record(
-    df: DataFrame, value: str | Column, layout: Layout, keys: Sequence[str] = (), weight: str | Column | None = None
+    df: DataFrame,
+    value: str | Column,
+    layout: Layout,
+    keys: Sequence[str] = (),
+    weight: str | Column | None = None,
+    signed_zeros: bool = True,
 ) -> DataFrame:
     """The histogram of `value` for each key, in long form.
 
     `weight` counts each row that often; weight 0 is no row at all, not even
     for NaN.  Null values and weights are skipped.  A NaN or a negative
-    weight fails the query, as does a count beyond 63 bits.
+    weight fails the query, as does a count beyond 63 bits.  Without
+    `signed_zeros`, -0.0 goes into the bin of 0.0; least and greatest values
+    keep its sign.
     """
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     rows = df.select(*keys, x.alias("_x"), *([] if weight is None else [_weight(weight).alias("_w")]))
     rows = rows.where("_x IS NOT NULL" if weight is None else "_x IS NOT NULL AND _w > 0")
-    return rows.groupBy(*keys, layout.column("_x").alias("bin_index")).agg(
+    return rows.groupBy(*keys, layout.column(binned_as("_x", signed_zeros)).alias("bin_index")).agg(
         F.expr("count(1)" if weight is None else "sum(_w)").alias("bin_count"),
         least_of("_x").alias("bin_min"),
         most_of("_x").alias("bin_max"),

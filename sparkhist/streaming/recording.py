@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkhist.functions import floatbits as fb
-from sparkhist.operators.histogram import _weight, least_of, merge, most_of
+from sparkhist.operators.histogram import _weight, binned_as, least_of, merge, most_of
 from sparkhist.plans.layouts import Layout
 
 
@@ -27,6 +27,7 @@ def record_windows(
     keys: Sequence[str] = (),
     weight: str | None = None,
     session: bool = False,
+    signed_zeros: bool = True,
 ) -> DataFrame:
     """Long form per window (window_start, window_end) and key, of a stream or a table.
 
@@ -34,7 +35,7 @@ def record_windows(
     ends a session, and all bins share the sessions of their key.  Values are
     binned before they are grouped, in sessions too: those of a table by a
     sort of each key's rows, those of a stream in a state of bins, for which
-    `late` is needed.
+    `late` is needed.  `signed_zeros` as in `record`.
     """
     t = F.col(time).cast("timestamp")
     cols = [t.alias("_t"), *keys, F.col(value).cast("double").alias("_x")]
@@ -43,11 +44,12 @@ def record_windows(
         rows = rows.where("_w > 0")
     if late:
         rows = rows.withWatermark("_t", late)
+    index = layout.column(binned_as("_x", signed_zeros)).alias("bin_index")
     n = F.sum("_w") if weight else F.count(F.lit(1))
     totals = [n.alias("bin_count"), least_of("_x").alias("bin_min"), most_of("_x").alias("bin_max")]
     names = ["window_start", "window_end", *keys, "bin_index", "bin_count", "bin_min", "bin_max"]
     if session:
-        binned = rows.where("_t IS NOT NULL").withColumn("bin_index", layout.column("_x"))
+        binned = rows.where("_t IS NOT NULL").withColumn("bin_index", index)
         if df.isStreaming:
             return _stream_sessions(binned, duration, keys, bool(weight)).select(*names)
         by = Window.partitionBy(*keys).orderBy("_t")
@@ -61,7 +63,7 @@ def record_windows(
         )
         return ends.groupBy("window_start", "window_end", *keys, "bin_index").agg(*totals).select(*names)
     w = F.window("_t", duration, slide) if slide else F.window("_t", duration)
-    out = rows.groupBy(w.alias("w"), *keys, layout.column("_x").alias("bin_index")).agg(*totals)
+    out = rows.groupBy(w.alias("w"), *keys, index).agg(*totals)
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *names[2:])
 
 
