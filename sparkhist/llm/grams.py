@@ -780,20 +780,57 @@ def _count_words(spark: SparkSession, path: str, names: list[str], parts: int) -
             x, y = reply(path, 0, rows[0]["part"], words, n, (asked, [a[:0] for a in asked]))
             yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([y])], names=["x", "y"])
 
-    sent = spark.range(0, len(names), 1, len(names)).mapInArrow(
+    sent = spark.range(0, len(names), 1, max(1, len(names))).mapInArrow(
         send, "part int, chunk int, wide int, words binary, n binary, asked binary"
     )
     rows = sent.repartitionById(parts, "part").mapInArrow(count, "x long, y long").collect()
     return sum(r.x for r in rows), sum(r.y for r in rows)
 
 
-def _words(path: str, c: Chunk, name: str, number: int, parts: int, total: int, distinct: int) -> None:
-    """How often each word of a chunk occurs in the corpus, and the base scores of its texts."""
+def _words(path: str, c: Chunk, number: int, parts: int, total: int, distinct: int) -> list[np.ndarray]:
+    """How often each word of a chunk occurs in the corpus; known words and base scores of its texts."""
     n = np.bincount(c.ids[c.learned[c.text]], minlength=len(c.vocabulary))
     counts = read_answers(path, 0, number, parts, c.vocabulary[n > 0])[2]
     known = np.bincount(c.text, (counts > 0)[c.ids], len(c.sizes))
     base = np.bincount(c.text, np.log10((counts + 1) / (total + distinct + 1))[c.ids], len(c.sizes))
-    save(path, f"words/{name}", narrow(counts), known.astype(np.int64), base)
+    return [counts, known.astype(np.int64), base]
+
+
+def _folder(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/sparkhist-grams-{uuid.uuid4().hex}"
+    _common.watch(spark, path)
+    return path
+
+
+def _keys(f: Stored) -> pa.Array:
+    """The ids of a stored chunk's texts."""
+    return pa.ipc.open_stream(pa.py_buffer(f.read(4))).read_all().column(0).combine_chunks()
+
+
+def base(src: DataFrame, chunk_tokens: int = CHUNK_TOKENS, part_grams: int = PART_GRAMS) -> tuple[DataFrame, int]:
+    """`score` without the score: words are counted, grams are not.  There may be no rows to learn from."""
+    spark = src.sparkSession
+    path = _folder(spark)
+    dealt = _deal(src, path, chunk_tokens)
+    names, chunks = list(dealt), len(dealt)
+    parts = max(1, min(BUCKETS, -(-2 * sum(dealt.values()) // part_grams)))
+    total, distinct = _count_words(spark, path, names, parts)
+
+    def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                with Stored(path, f"chunk/{names[i]}") as f:
+                    keys = _keys(f)
+                c = Chunk(path, names[i])
+                _, known, base = _words(path, c, i, parts, total, distinct)
+                columns = [keys, *map(pa.array, (c.sizes, known, base))]
+                del c
+                trim()
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score"])
+
+    kind = src.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double"
+    return spark.range(0, chunks, 1, max(1, chunks)).mapInArrow(result, schema), total
 
 
 def score(src: DataFrame, chunk_tokens: int = CHUNK_TOKENS, part_grams: int = PART_GRAMS) -> tuple[DataFrame, int]:
@@ -802,8 +839,7 @@ def score(src: DataFrame, chunk_tokens: int = CHUNK_TOKENS, part_grams: int = PA
     There must be rows to learn from.
     """
     spark = src.sparkSession
-    path = f"{shared_dir(spark)}/sparkhist-grams-{uuid.uuid4().hex}"
-    _common.watch(spark, path)
+    path = _folder(spark)
     dealt = _deal(src, path, chunk_tokens)
     names, chunks = list(dealt), len(dealt)
 
@@ -818,7 +854,8 @@ def score(src: DataFrame, chunk_tokens: int = CHUNK_TOKENS, part_grams: int = PA
 
     def begin(i: int) -> tuple[int, int]:
         c = Chunk(path, names[i])
-        _words(path, c, names[i], i, parts, total, distinct)
+        counts, *sums = _words(path, c, i, parts, total, distinct)
+        save(path, f"words/{names[i]}", narrow(counts), *sums)
         return Round(path, c, names[i], 1).write(), 0
 
     grams = sum(x for x, _ in each(spark, chunks, begin))
@@ -876,11 +913,11 @@ def score(src: DataFrame, chunk_tokens: int = CHUNK_TOKENS, part_grams: int = PA
         for b in batches:
             for i in b.column(0).to_pylist():
                 with Stored(path, f"chunk/{names[i]}") as f:
-                    n, keys = f.read(2), pa.ipc.open_stream(pa.py_buffer(f.read(4))).read_all().column(0)
+                    n, keys = f.read(2), _keys(f)
                 _, known, base = load(path, f"words/{names[i]}")
                 scores = load(path, f"score/{names[i]}")[0]
                 yield pa.RecordBatch.from_arrays(
-                    [keys.combine_chunks(), *map(pa.array, (n, known, base, scores))],
+                    [keys, *map(pa.array, (n, known, base, scores))],
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 

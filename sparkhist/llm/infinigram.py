@@ -555,6 +555,29 @@ def _read_shard(path: str, shard: int) -> Shard | None:
     return Shard(*parts).open()
 
 
+def _texts(docs: DataFrame, trains, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, learned), without nulls but for ids."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return src.withColumn("learned", F.coalesce(trains, F.lit(False)))
+
+
+def _fewer(src: DataFrame, pieces: int, task_bytes: int) -> DataFrame:
+    """The texts in tasks of `task_bytes` or more, if there are as many."""
+    asked = max(1, -(-int(src.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // task_bytes))
+    return src.coalesce(asked) if asked < pieces else src
+
+
+def base_score(
+    docs: DataFrame, trains, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS
+) -> DataFrame:
+    """`score` without the score: what the counts of words alone tell, of corpora of any size."""
+    from sparkhist.llm import grams  # which builds on this module
+
+    src = _texts(docs, trains, id_col, text_col)
+    found, total = grams.base(_fewer(src, src.rdd.getNumPartitions(), 4 * batch_tokens), batch_tokens)
+    return found.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score")
+
+
 def score(
     docs: DataFrame,
     trains,
@@ -570,16 +593,13 @@ def score(
     rows are texts of their own and count as often; other columns are not
     read.  Without training rows all words are unknown and scores 0.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    src = src.withColumn("learned", F.coalesce(trains, F.lit(False)))
+    src = _texts(docs, trains, id_col, text_col)
     train = src.where("learned").select("text")
     size = train.agg(F.sum(F.octet_length("text") + 1), F.count("*")).first()
     # Fewer, larger tasks: each reads the shard, or stores a chunk, once for all its texts.
     pieces = max(1, src.rdd.getNumPartitions()) if size[1] else 1
     shards = -(-int(size[0] or 0) // shard_bytes) if size[1] else 0
-    task_bytes = (6 if shards <= 1 else 4) * batch_tokens  # chunks, kept in memory whole, stay well below their limit
-    asked = max(1, -(-int(src.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // task_bytes))
-    src = src.coalesce(asked) if asked < pieces else src
+    src = _fewer(src, pieces, (6 if shards <= 1 else 4) * batch_tokens)  # chunks, kept in memory whole, stay well below their limit
     columns = lambda df, n: df.select(
         "doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
@@ -652,9 +672,19 @@ def score(
     return columns(scored, total)
 
 
+def _held_out():
+    return F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+
+
 def lm_digest(docs: DataFrame) -> DataFrame:
     """Scores of all documents by a model of those whose crc32(id as text) mod 7 isn't 2."""
-    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    held = _held_out()
     return score(docs, ~held).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+def base_digest(docs: DataFrame) -> DataFrame:
+    """`lm_digest` without the score."""
+    held = _held_out()
+    return base_score(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score")
